@@ -4,21 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quaymark.llm.bpe import encode_documents
 from quaymark.llm.common import documents
 from quaymark.llm.exact_dedup import exact_dedup
 from quaymark.llm.mixing import mix
+from quaymark.llm.quality import quality
+from quaymark.llm.token_store import token_store
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2"]
+    return quality(documents(spark, sf_dir)).select(*cols)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = mix(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op8_mixing": op8_mixing}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_exact_dedup, op5_token_store, op7_quality, op8_mixing)}
 
 ORACLES = {
     "op3_exact_dedup": r"""WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
