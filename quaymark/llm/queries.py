@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quaymark.llm.bpe import encode_documents
 from quaymark.llm.common import documents
 from quaymark.llm.exact_dedup import exact_dedup
+from quaymark.llm.language import language_id
+from quaymark.llm.minhash import near_duplicates
 from quaymark.llm.mixing import mix
 from quaymark.llm.quality import quality
 from quaymark.llm.token_store import token_store
+from quaymark.llm.warc import derivatives, responses
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +26,25 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    derived = derivatives(records, ["page_id"])
+    return derived.select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", F.col("headers")["WARC-Block-Digest"].alias("block_digest"),
+        F.col("headers")["WARC-Source-Payload-Digest"].alias("source_payload_digest"), F.octet_length("block").cast("long").alias("n_bytes"), F.decode("block", "utf-8").alias("content"),
+    )
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=3, threshold_pct=85)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2"]
     return quality(documents(spark, sf_dir)).select(*cols)
@@ -38,7 +55,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_exact_dedup, op5_token_store, op7_quality, op8_mixing)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_exact_dedup, op4_warc, op5_token_store, op6_minhash, op7_quality, op8_mixing, op10_language)}
 
 ORACLES = {
     "op3_exact_dedup": r"""WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
