@@ -1,10 +1,71 @@
-"""The corpus pipeline: stages are added as their operators are."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, encoding. Each stage works on all its predecessor kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaymark.llm.bpe import encode_documents
+from quaymark.llm.common import documents, shared_dir, table
+from quaymark.llm.exact_dedup import exact_dedup
+from quaymark.llm.language import identify, train
+from quaymark.llm.minhash import near_duplicates
+from quaymark.llm.mixing import mix
+
+#: A text is rejected when no language has at least this share of its words.
+LEAST_SHARE = 0.4
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters and one prevailing language."""
+    labelled = identify(docs, train(docs), docs.columns, prefix="__language_")
+    return labelled.where((F.col("__language_lang_pred") != "und") & (F.col("__language_score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    gone = exact_dedup(docs).where("not kept").select("doc_id")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: words taken by its size, rounded up or down by a fixed draw."""
+    rows, _, _ = mix(docs)
+    draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    times = rows.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + draw)).cast("int")).alias("times"))
+    times = times.withColumnRenamed("doc_id", "mix_id")
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["mix_id"])).where("times > 0")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*docs.columns)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document of the mix."""
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("minhash_dedup", near_stage),
+    ("mixing", mix_stage),
+    ("byte_bpe", encode_stage),
+]
+
+#: The language model, the permutations and the merges can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = shared_dir(spark)
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = table(stage(spark, docs, sf_dir), at, name)
+    return docs
