@@ -12,10 +12,15 @@ from quaymark.llm.language import language_id
 from quaymark.llm.minhash import near_duplicates
 from quaymark.llm.mixing import mix
 from quaymark.llm.quality import quality
+from quaymark.llm.suffix_dedup import suffix_dedup
 from quaymark.llm.token_store import token_store
 from quaymark.llm.warc import derivatives, responses
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +64,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_exact_dedup, op4_warc, op5_token_store, op6_minhash, op7_quality, op8_mixing, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_exact_dedup, op4_warc, op5_token_store, op6_minhash, op7_quality, op8_mixing, op10_language)}
 
 ORACLES = {
     "op3_exact_dedup": r"""WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
