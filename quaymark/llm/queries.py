@@ -9,6 +9,7 @@ from quaymark.llm.bpe import encode_documents
 from quaymark.llm.common import documents
 from quaymark.llm.exact_dedup import exact_dedup
 from quaymark.llm.language import language_id
+from quaymark.llm.maxent import score
 from quaymark.llm.minhash import near_duplicates
 from quaymark.llm.mixing import mix
 from quaymark.llm.quality import quality
@@ -60,11 +61,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_exact_dedup, op4_warc, op5_token_store, op6_minhash, op7_quality, op8_mixing, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_exact_dedup, op4_warc, op5_token_store, op6_minhash, op7_quality, op8_mixing, op9_maxent, op10_language)}
 
 ORACLES = {
     "op3_exact_dedup": r"""WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
