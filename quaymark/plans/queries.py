@@ -374,8 +374,8 @@ SELECT file, w AS width, round(n / total, 4) AS share, n / total >= 0.95 AS fixe
 )
 add(
     "detect_preamble",
-    lambda s, d: det.preamble_lines(_csv_lines(s, d, "l_returnflag", F.when(F.col("l_returnflag") == "R", F.lit("p,q"))), ",", 2),
-    """WITH l AS (SELECT CAST(l_suppkey AS VARCHAR) AS file, l_orderkey * 8 + l_linenumber AS line_no, l_returnflag = 'R' AS fits FROM lineitem),
+    lambda s, d: det.preamble_lines(_csv_lines(s, d, "l_returnflag", F.when(F.col("l_returnflag") == "R", F.lit("p,q"))).groupBy("file", "line_no").agg(F.max("line").alias("line")), ",", 2),
+    """WITH l AS (SELECT CAST(l_suppkey AS VARCHAR) AS file, l_orderkey * 8 + l_linenumber AS line_no, bool_or(l_returnflag = 'R') AS fits FROM lineitem GROUP BY 1, 2),
 w AS (SELECT *, lead(fits) OVER (PARTITION BY file ORDER BY line_no) AS nxt FROM l) SELECT file, min(line_no) AS data_start FROM w WHERE fits AND nxt GROUP BY 1""",
 )
 
