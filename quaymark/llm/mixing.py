@@ -14,13 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import WORD, shared_dir, table
+from quaymark.llm.common import WORD, partitions, shared_dir, table
 
 BLOCK = 16
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARD_SLOTS = 4096
 BUCKETS = 1024
-CHUNK = 32_768
+CHUNK = 8_192
 #: Enough steps of the walk: the domain exceeds the blocks by a part of at most 1/28, or by less than 30 numbers.
 WALK = 30
 
@@ -65,21 +65,20 @@ def permuted(k: F.Column, n: F.Column, seed: list[F.Column]) -> F.Column:
             return F.when(r % 2 == 0, move_a).otherwise(move_b)
 
         begin = F.struct(F.floor(x / q).cast("long").alias("a"), F.pmod(x, q).alias("b"))
-        return F.aggregate(F.array(*map(F.lit, range(6))), begin, half, lambda acc: acc["a"] * q + acc["b"])
+        return F.aggregate(F.array(*map(F.lit, range(4))), begin, half, lambda acc: acc["a"] * q + acc["b"])
 
-    start = F.struct(k.alias("x"), F.lit(False).alias("ok"))
-
-    def step(acc, _):
-        return F.when(acc["ok"] & (acc["x"] < n), acc).otherwise(F.struct(once(acc["x"]).alias("x"), F.lit(True).alias("ok")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda acc: acc["x"])
+    first = once(k)
+    walked = F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(first < n, first).otherwise(walked)
 
 
 def plan_slots(targets: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
     """rank, slot, shard, block: every slot of the mix. Slots of a large source are made in many tasks."""
     t = targets.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("slots", F.least(2 * F.col("blocks"), F.round(F.col("target") / block)).cast("long"))
     t = t.withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0)))).where("slots > 0")
-    chunks = t.select("rank", "blocks", "slots", "all_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk")).repartition("rank", "chunk")
+    chunks = t.select("rank", "blocks", "slots", "all_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
+    # by number, so that these few rows aren't coalesced before they grow
+    chunks = chunks.repartition(partitions(targets.sparkSession), "rank", "chunk")
     last = F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1
     slots = chunks.select("rank", "blocks", "all_slots", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("slot"))
     shard = F.pmod(_mix(F.lit(seed), F.lit("shard"), "rank", "slot"), F.ceil(F.col("all_slots") / SHARD_SLOTS))
@@ -117,8 +116,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spans = placed.select("row_no", "rank", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     first = F.greatest(F.col("start"), F.col("block") * block)
     spans = spans.select("row_no", "rank", "block", (first - F.col("start")).alias("first"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - first).alias("words"))
-    pieces = spans.join(slots, ["rank", "block"]).select("shard", "rank", "slot", "row_no", "first", "words")
+    # merge joins: the planner takes exploded rows for as few as they came from, and would broadcast them
+    pieces = spans.join(slots.hint("merge"), ["rank", "block"]).select("shard", "rank", "slot", "row_no", "first", "words")
     used = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = spans.join(used, ["rank", "block"]).groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    rows = named.join(taken, "row_no", "left").select("row_no", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = spans.join(used.hint("merge"), ["rank", "block"]).groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    rows = named.join(taken.hint("merge"), "row_no", "left").select("row_no", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return rows, slots, pieces
