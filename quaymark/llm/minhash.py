@@ -6,7 +6,7 @@
    sketch). So a class needs `need` values that some other class retains, and only its rarest (retained - need + 1) of
    those go into lists: two such choices always meet. Values that very many texts retain come last in that order.
 3. Overlaps are taken from the lists without all pairs of a list. In each round every list that spans more than one
-   component compares its members with one of them. The pair's union sketch estimates the similarity; pairs far below
+   component compares its members with its most central one, which then leaves the list. The pair's union sketch estimates the similarity; pairs far below
    the threshold are dropped, the others are confirmed on the full sets. When the rounds are over, the lists that
    still span components are compared pair by pair across components, so no link between components is lost.
 4. Components come from confirmed links by minimum labels with pointer jumping, in tables, not on the driver.
@@ -25,7 +25,7 @@ from quaymark.llm.shingles import shingle_sets
 
 K = 64
 MISS = 1e-7
-ROUNDS = 3
+ROUNDS = 6
 #: Standard deviations by which an estimate may lie below the threshold.
 SLACK = 5.0
 
@@ -146,8 +146,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id
     need = F.when(F.col("n") <= small, F.ceil(F.col("n") * t)).otherwise(F.lit(least_shared(K, t)))
     need = F.least(need, F.ceil(F.col("n") * t)).cast("int")
     shared = values.join(often.hint("merge"), "v").groupBy("cid", "n").agg(F.collect_list(F.struct("df", "v")).alias("x")).withColumn("need", need).where(F.size("x") >= F.col("need"))
-    chosen = shared.select("cid", F.slice(F.array_sort("x"), 1, F.greatest(F.size("x") - F.col("need") + 1, F.lit(0))).alias("x"))
-    entries = table(chosen.select("cid", F.explode("x").alias("e")).select("cid", F.col("e.v").alias("v")), at, "entries")
+    # how common a class's values are: the text that others were copied from comes first
+    central = F.aggregate("x", F.lit(0).cast("long"), lambda acc, e: acc + e["df"])
+    chosen = shared.select("cid", central.alias("central"), F.slice(F.array_sort("x"), 1, F.greatest(F.size("x") - F.col("need") + 1, F.lit(0))).alias("x"))
+    entries = table(chosen.select("cid", "central", F.explode("x").alias("e")).select("cid", "central", F.col("e.v").alias("v")), at, "entries")
     # texts of the classes that are in lists
     cand = entries.select("cid").distinct().join(classes.select("cid", "k1", "k2"), "cid")
     tx = F.coalesce(F.col(text_col), F.lit(""))
@@ -156,23 +158,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id
     labels = spark.createDataFrame([], "node long, label long")
     links = []
 
-    def open_lists(labels):
-        e = entries.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("v", "cid", F.coalesce("label", "cid").alias("label"))
+    def open_lists(left, labels):
+        e = left.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("v", "cid", "central", F.coalesce("label", "cid").alias("label"))
         lists = e.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
         return e.join(lists, "v")
 
+    left = entries
     for r in range(ROUNDS + 1):
-        e = table(open_lists(labels), at, f"open-{r}")
+        e = table(open_lists(left, labels), at, f"open-{r}")
         if not e.limit(1).count():
             break
         if r < ROUNDS:
-            by = F.col("cid") if r == 0 else F.xxhash64(F.lit(r), "v", "cid")
-            lead = e.groupBy("v").agg(F.min(F.struct(by.alias("p"), F.col("cid").alias("lead"), F.col("label").alias("lead_label"))).alias("m")).select("v", "m.lead", "m.lead_label")
-            pairs = e.join(lead, "v").where("label <> lead_label")
+            # the most central member leads; it meets all others of its list now and leaves the list
+            best = F.max(F.struct("central", (-F.col("cid")).alias("neg"), F.col("label").alias("lead_label")))
+            lead = e.groupBy("v").agg(best.alias("m")).select("v", (-F.col("m.neg")).alias("lead"), "m.lead_label")
+            led = e.join(lead, "v").where("cid <> lead")
+            left = led.select("v", "cid", "central")
+            pairs = led.where("label <> lead_label")
             pairs = pairs.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
         else:
             # one row a list and label first, so that lists of a single component cost nothing
-            o = e.toDF("v", "other", "other_label")
+            o = e.select("v", F.col("cid").alias("other"), F.col("label").alias("other_label"))
             pairs = e.join(o, "v").where("cid < other and label <> other_label").select(F.col("cid").alias("a"), F.col("other").alias("b"))
         good = table(_confirmed(_estimated(pairs.distinct(), classes, t), texts, words, threshold_pct), at, f"links-{r}")
         links.append(good)
