@@ -2,13 +2,15 @@
 
 1. A text's sketch is the K smallest hashes of its shingle set. Texts with equal sets are one class from here on.
 2. Inverted lists hold, for each retained value, the classes that retain it. Sets as similar as the threshold share, but
-   for a chance of less than MISS, at least `need` of their retained values (binomial tail; exactly for sets that fit the
-   sketch). So a class needs `need` values that some other class retains, and only its rarest (retained - need + 1) of
+   for a chance of less than MISS, at least `need` of their retained values (hypergeometric tail; exactly for sets that
+   fit the sketch). So a class needs `need` values that some other class retains, and only its rarest (retained - need + 1) of
    those go into lists: two such choices always meet. Values that very many texts retain come last in that order.
 3. Overlaps are taken from the lists without all pairs of a list. In each round every list that spans more than one
    component compares its members with its most central one, which then leaves the list. The pair's union sketch estimates the similarity; pairs far below
-   the threshold are dropped, the others are confirmed on the full sets. When the rounds are over, the lists that
-   still span components are compared pair by pair across components, so no link between components is lost.
+   the threshold are dropped, the others are confirmed on the full sets. When the rounds are over, the members of lists
+   that still span components meet across components, so no link between components is lost. Long lists are cut into blocks
+   of MEMBERS; a task compares two blocks by products of incidence matrices, and only pairs leave it that the sizes and
+   the union sketch allow and that share no value earlier in their order.
 4. Components come from confirmed links by minimum labels with pointer jumping, in tables, not on the driver.
 """
 
@@ -20,26 +22,53 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import shared_dir, table
+from quaymark.llm.common import partitions, shared_dir, table
 from quaymark.llm.shingles import shingle_sets
 
-K = 64
+K = 128
 MISS = 1e-7
 ROUNDS = 6
-#: Standard deviations by which an estimate may lie below the threshold.
-SLACK = 5.0
+#: Members of a list that meet as many others in one group, when lists that still span components are compared.
+MEMBERS = 1024
 
 
-def least_shared(k: int, threshold: float, miss: float = MISS) -> int:
-    """Largest m with P(Binomial(k, threshold) < m) < miss."""
-    p, m = 0.0, 0
+def least_shared(k: int, threshold: float, union: int | None = None, miss: float = MISS) -> int:
+    """Largest m with P(X < m) < miss, where X of the k smallest values of a union belong to both sets, and the union has
+    so many values (None: any number), a threshold's part of them in both."""
+    both = None if union is None else math.floor(threshold * union + 1e-9)
+    p, m = 0.0, 0 if union is None else max(0, k - (union - both))
     while True:
-        p += math.comb(k, m) * threshold**m * (1 - threshold) ** (k - m)
+        if union is None:
+            p += math.comb(k, m) * threshold**m * (1 - threshold) ** (k - m)
+        else:
+            p += math.comb(both, m) * math.comb(union - both, k - m) / math.comb(union, k)
         if p >= miss:
             return m
         m += 1
 
 
+def least_by_union(k: int, threshold: float) -> list[tuple[int, int]]:
+    """(size, m) in ascending order: m holds for unions of up to that size that exceed k; beyond the last, any number."""
+    steps: list[tuple[int, int]] = []
+    size = k
+    while size < 16 * k:
+        size += max(1, size // 64)
+        m = least_shared(k, threshold, size)
+        if steps and steps[-1][1] <= m:
+            steps[-1] = (size, steps[-1][1])
+        else:
+            steps.append((size, m))
+    return steps
+
+
+def _least(union, within, k: int, threshold: float) -> F.Column:
+    """What least_by_union() says of a column of sizes; within is for unions that fit the sketch."""
+    out = F.when(union <= k, within)
+    for size, m in least_by_union(k, threshold):
+        out = out.when(union <= size, F.lit(m))
+    return out.otherwise(F.lit(least_shared(k, threshold)))
+
+
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, k1, k2 (hash of id and text), n_shingles, digest of the set, sketch."""
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -95,14 +124,117 @@ def components(edges: DataFrame, at: str, name: str) -> DataFrame:
             return labels
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sizes and union sketches allow the threshold, with est."""
+def _estimated(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and union sketches allow the threshold."""
     c = classes.select("cid", "n", "sketch")
-    p = pairs.join(c.toDF("a", "na", "sa"), "a").join(c.toDF("b", "nb", "sb"), "b").where((F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-    u = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    p = p.withColumn("u", u).withColumn("est", F.size(F.array_intersect(F.array_intersect("u", "sa"), F.col("sb"))) / F.size("u"))
-    low = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / K)
-    return p.where(F.col("est") >= low).select("a", "b", "est")
+    p = pairs.join(c.toDF("a", "na", "sa"), "a").join(c.toDF("b", "nb", "sb"), "b").where(100 * F.least("na", "nb") >= pct * F.greatest("na", "nb"))
+    p = p.withColumn("union", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K))
+    both = F.size(F.array_intersect(F.array_intersect("union", "sa"), F.col("sb")))
+    # sets as similar as that have a union of this size at most
+    most = F.floor(100 * (F.col("na") + F.col("nb")) / (100 + pct))
+    return p.where(K * both >= F.size("union") * _least(most, F.lit(K * pct / 100 - 1e-6), K, pct / 100)).select("a", "b")
+
+
+def _incidence(lists, inside):
+    """0/1 columns, up to 4096 at a time, of the values that more than one of the lists has; inside says which values count."""
+    import numpy as np
+
+    flat = np.concatenate(lists)[inside]
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[inside]
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    use = n[at] > 1
+    row, at = row[use], place[at[use]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        i, j = np.searchsorted(at, (lo, lo + 4096))
+        m = np.zeros((len(lists), min(4096, int(at[-1]) + 1 - lo)), np.float32)
+        m[row[i:j], at[i:j] - lo] = 1
+        yield m
+
+
+def _met(sketch, prior, label, n, left, right, pct: int, steps):
+    """(i, j) of the likely pairs of a group, one from left and one from right, that no earlier list holds."""
+    import numpy as np
+
+    def together(lists):
+        out = np.zeros((len(left), len(right)), np.float32)
+        for m in _incidence(lists, slice(None)):
+            out += m[left] @ m[right].T
+        return out
+
+    both, na, nb = together(sketch), n[left][:, None], n[right][None]
+    sizes = np.array([len(x) for x in sketch])
+    most = 100 * (na + nb) // (100 + pct)
+    least = np.where(most <= K, K * pct / 100 - 1e-6, steps[1][np.searchsorted(steps[0], most)])
+    union = np.minimum(K, sizes[left][:, None] + sizes[right][None] - both)
+    ok = (label[left][:, None] != label[right][None]) & (100 * np.minimum(na, nb) >= pct * np.maximum(na, nb)) & (K * both >= union * least)
+    if left is right:
+        ok = np.triu(ok, 1)
+    if ok.any():
+        ok &= together(prior) == 0
+    i, j = np.nonzero(ok)
+    wide = np.full((len(sketch), K), np.iinfo(np.int64).max)
+    for k, x in enumerate(sketch):
+        wide[k, : len(x)] = x
+    keep = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 8192):
+        x, y = i[lo : lo + 8192], j[lo : lo + 8192]
+        v = np.sort(np.concatenate([wide[left[x]], wide[right[y]]], axis=1), axis=1)
+        again = (v[:, 1:] == v[:, :-1]) & (v[:, 1:] < np.iinfo(np.int64).max)
+        rank = np.arange(1, 2 * K)[None] - np.cumsum(again, axis=1) + 1  # of the value among the distinct ones
+        keep[lo : lo + 8192] = K * (again & (rank <= K)).sum(axis=1) >= union[x, y] * least[x, y]
+    return left[i[keep]], right[j[keep]]
+
+
+def _across(e: DataFrame, chosen: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
+    """Likely pairs (a, b) of members of a list, of different components, each once: in the first list that both chose."""
+    blocks = e.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    values = chosen.select("cid", F.transform("x", lambda y: y["v"]).alias("x"))
+    full = e.join(blocks, "v").join(classes.select("cid", "n", "sketch"), "cid").join(values, "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    prior = F.slice("x", F.lit(1), F.array_position("x", F.col("v")).cast("int") - 1)
+    dealt = full.select("v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "cid", "label", "n", "sketch", prior.alias("prior"))
+    dealt = dealt.select("v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "label", "n", "sketch", "prior")
+    known = least_by_union(K, pct / 100)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        steps = np.array([size for size, _ in known]), np.array([m for _, m in known] + [least_shared(K, pct / 100)], float)
+        rest = None
+
+        def groups(t, last):
+            """Pairs of the whole groups of t, and the rows of a group that may go on."""
+            key = [t.column(i).to_numpy() for i in range(3)]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            edges = [0, *new.tolist(), *([t.num_rows] if last else [])]
+            own, cid, label, n = (t.column(i).to_numpy() for i in range(3, 7))
+            sketch, prior = ([x.values.to_numpy() for x in t.column(i)] for i in (7, 8))
+            out = []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                at = np.arange(hi - lo)
+                same = key[1][lo] == key[2][lo]
+                left = at if same else at[own[lo:hi] == key[1][lo]]
+                right = left if same else at[own[lo:hi] != key[1][lo]]
+                if hi - lo > 1 and len(left) and len(right):
+                    i, j = _met(sketch[lo:hi], prior[lo:hi], label[lo:hi], n[lo:hi], left, right, pct, steps)
+                    out.append(np.stack([cid[lo:hi][i], cid[lo:hi][j]]))
+            pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"]), None if last else t.slice(edges[-1])
+
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+                pairs, rest = groups(t, False)
+                yield pairs
+        if rest is not None:
+            yield groups(rest, True)[0]
+
+    keys = ["v", "lo", "hi"]
+    return dealt.repartition(partitions(e.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold_pct: int) -> DataFrame:
@@ -142,13 +274,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id
     # lists
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    small = math.floor(K * t)
-    need = F.when(F.col("n") <= small, F.ceil(F.col("n") * t)).otherwise(F.lit(least_shared(K, t)))
-    need = F.least(need, F.ceil(F.col("n") * t)).cast("int")
+    exact = F.floor((F.col("n") * threshold_pct + 99) / 100)
+    need = F.least(_least(F.floor(F.col("n") * 100 / threshold_pct), F.lit(K), K, t), exact).cast("int")
     shared = values.join(often.hint("merge"), "v").groupBy("cid", "n").agg(F.collect_list(F.struct("df", "v")).alias("x")).withColumn("need", need).where(F.size("x") >= F.col("need"))
     # how common a class's values are: the text that others were copied from comes first
     central = F.aggregate("x", F.lit(0).cast("long"), lambda acc, e: acc + e["df"])
     chosen = shared.select("cid", central.alias("central"), F.slice(F.array_sort("x"), 1, F.greatest(F.size("x") - F.col("need") + 1, F.lit(0))).alias("x"))
+    chosen = table(chosen, at, "chosen")
     entries = table(chosen.select("cid", "central", F.explode("x").alias("e")).select("cid", "central", F.col("e.v").alias("v")), at, "entries")
     # texts of the classes that are in lists
     cand = entries.select("cid").distinct().join(classes.select("cid", "k1", "k2"), "cid")
@@ -176,11 +308,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id
             left = led.select("v", "cid", "central")
             pairs = led.where("label <> lead_label")
             pairs = pairs.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
+            likely = _estimated(pairs.distinct(), classes, threshold_pct)
         else:
-            # one row a list and label first, so that lists of a single component cost nothing
-            o = e.select("v", F.col("cid").alias("other"), F.col("label").alias("other_label"))
-            pairs = e.join(o, "v").where("cid < other and label <> other_label").select(F.col("cid").alias("a"), F.col("other").alias("b"))
-        good = table(_confirmed(_estimated(pairs.distinct(), classes, t), texts, words, threshold_pct), at, f"links-{r}")
+            likely = _across(e, chosen, classes, threshold_pct)
+        good = table(_confirmed(likely, texts, words, threshold_pct), at, f"links-{r}")
         links.append(good)
         edges = links[0]
         for x in links[1:]:
