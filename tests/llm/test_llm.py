@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quaymark.llm import suffix_dedup as sd
@@ -14,7 +15,7 @@ from quaymark.llm.bpe import Encoder, encode_documents
 from quaymark.llm.exact_dedup import exact_dedup
 from quaymark.llm.language import language_id
 from quaymark.llm.maxent import score
-from quaymark.llm.minhash import least_shared, near_duplicates
+from quaymark.llm.minhash import K, _met, least_by_union, least_shared, near_duplicates
 from quaymark.llm.mixing import mix
 from quaymark.llm.quality import quality
 from quaymark.llm.token_store import ShardReader, read_tokens, write_tokens
@@ -160,6 +161,38 @@ def test_near_duplicates(docs, empty, words, pct):
     assert 30 <= least_shared(64, 0.85) <= 50
 
 
+def test_blocks_of_a_long_list_lose_no_link():
+    rng = np.random.default_rng(0)
+    base = rng.choice(1 << 60, 160, replace=False)
+    sets = []
+    for changed in rng.integers(0, 40, 120):
+        x = base.copy()
+        x[rng.choice(160, changed, replace=False)] = rng.integers(0, 1 << 60, changed)
+        sets.append(np.unique(x))
+    n, every = np.array([len(x) for x in sets]), np.arange(len(sets))
+    known = least_by_union(K, 0.85)
+    steps = np.array([size for size, _ in known]), np.array([m for _, m in known] + [least_shared(K, 0.85)], float)
+    linked = set()
+    for a, x in enumerate(sets):
+        for b in range(a + 1, len(sets)):
+            both = len(np.intersect1d(x, sets[b]))
+            if 100 * both >= 85 * (n[a] + n[b] - both):
+                linked.add((a, b))
+    sketch, none = [x[:K] for x in sets], [x[:0] for x in sets]
+
+    def met(left, right, label=every, prior=none):
+        i, j = _met(sketch, prior, label, n, left, right, 85, steps)
+        return {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())}
+
+    whole = met(every, every)
+    assert linked and linked <= whole
+    halves = every[:60], every[60:]
+    assert met(halves[0], halves[0]) | met(halves[1], halves[1]) | met(*halves) == whole
+    # nothing is compared within a component, nor where an earlier list has the pair already
+    assert met(every, every, label=every * 0) == set()
+    assert met(every, every, prior=[x[:1] * 0 + 7 for x in sets]) == set()
+
+
 def test_quality(docs, empty):
     got = {r["doc_id"]: r for r in quality(docs).collect()}
     for i, t in all_rows(docs):
