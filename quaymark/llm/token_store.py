@@ -14,6 +14,7 @@ import hashlib
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,37 +26,90 @@ MAGIC = b"QTOK2\0\0\0"
 RECORD = struct.Struct("<QIIqB")
 TAIL = struct.Struct("<QQQ8s")
 SAMPLE, SAMPLE_BYTES, DICT_BYTES, LEVEL = 2000, 8_000_000, 65_536, 3
+#: How byte-level vocabularies write the byte of a space, and how many pieces go to the library in one string.
+SPACE_TOKEN, TOGETHER = "\u0120", 2048
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, which is asked once for every distinct piece between white space."""
+    """Ids by the tokenizers library, which is asked once for every distinct piece between white space.
+
+    Texts are cut at each space that a character other than white space follows; byte-level pre-tokenizers never reach
+    across such a place. Most pieces are a space and a run without white space: many of them go to the library as one
+    string, and a token whose bytes start with a space starts the next piece. All other pieces go to it one by one.
+    """
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.pieces: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE_TOKEN) for i in range(size)])
+        self.after: dict[str, bytes] = {}  # pieces with a space before them, which is left out of the key
+        self.whole: dict[str, bytes] = {}  # all others
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        code = "H" if self.width == 2 else "I"
+        return [struct.pack(f"<{len(e.ids)}{code}", *e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _learn_after(self, new: list[str]) -> list[bytes]:
+        import numpy as np
+
+        out: list[bytes] = []
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            (e,) = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u2" if self.width == 2 else "<u4")
+            places = np.flatnonzero(self.starts[ids])
+            if len(places) != len(some) or places[0]:  # no byte-level vocabulary
+                out += self._learn([f" {p}" for p in some])
+                continue
+            packed, ends = ids.tobytes(), [*(places * self.width).tolist(), len(ids) * self.width]
+            out += [packed[a:b] for a, b in zip(ends, ends[1:])]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of `width` bytes."""
-        cut = [PIECES.findall(t) for t in texts]
-        if len(self.pieces) > MOST:
-            self.pieces.clear()
-        known, new = self.pieces, {}
-        for ps in cut:
-            for p in set(ps):
-                if p not in known:
-                    new[p] = None
-        long = {}
-        if new:
-            code = "H" if self.width == 2 else "I"
-            for p, e in zip(new, self.tokenizer.encode_batch(list(new), add_special_tokens=False)):
-                (known if len(p) <= LONGEST else long)[p] = struct.pack(f"<{len(e.ids)}{code}", *e.ids)
-        if long:
-            return [b"".join([known[p] if p in known else long[p] for p in ps]) for ps in cut]
-        return [b"".join(map(known.__getitem__, ps)) for ps in cut]
+        for memory in (self.after, self.whole):
+            if len(memory) > MOST:
+                memory.clear()
+        cut, plain, other = [], set(), set()
+        for t in texts:
+            first, *rest = t.split(" ")
+            new = set(rest).difference(self.after)
+            if any(not p or p[0].isspace() for p in new):  # longer white space
+                first, rest = "", PIECES.findall(t)
+                other.update(set(rest).difference(self.whole))
+                cut.append((None, rest))
+                continue
+            plain |= new
+            if first not in self.whole:
+                other.add(first)
+            cut.append((first, rest))
+        others, spaced, joined = list(other), [], []
+        for p in plain:
+            (joined if len(p) <= LONGEST and len(p.split()) == 1 else spaced).append(p)
+        after, whole = self.after, self.whole
+        long_after, long_whole = {}, {}
+        for p, ids in zip(others, self._learn(others) if others else []):
+            (whole if len(p) <= LONGEST else long_whole)[p] = ids
+        for p, ids in zip(spaced, self._learn([f" {p}" for p in spaced]) if spaced else []):
+            (after if len(p) <= LONGEST else long_after)[p] = ids
+        after.update(zip(joined, self._learn_after(joined)))
+        out = []
+        for first, rest in cut:
+            known, more = (whole, long_whole) if first is None else (after, long_after)
+            ids = map(known.__getitem__, rest) if not more else (known[p] if p in known else more[p] for p in rest)
+            out.append((b"" if first is None else whole[first] if first in whole else long_whole[first]) + b"".join(ids))
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> LibraryEncoder:
+    """One for all tasks of a Python worker, with what it remembers."""
+    return LibraryEncoder(path)
 
 
 def _fs(path: str):
@@ -155,9 +209,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = rows.select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h", "text").limit(SAMPLE).select("text").collect()
     enc, samples, size = LibraryEncoder(tokenizer_path), [], 0
-    for (text,) in sample:
-        samples += enc.encode([text])
-        size += len(samples[-1])
+    for at in range(0, len(sample), 50):
+        samples += enc.encode([text for (text,) in sample[at : at + 50]])
+        size = sum(map(len, samples))
         if size > SAMPLE_BYTES:
             break
     dictionary = train_dictionary([s for s in samples if s])
@@ -180,7 +234,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                     size += len(part[-1])
                     end += 1
                 if writer is None:
-                    enc = LibraryEncoder(tokenizer_path)
+                    enc = encoder(tokenizer_path)
                     stop = end_id.to_bytes(enc.width, "little")
                     writer = ShardWriter(folder, shard, dictionary, enc.width)
                 for doc_id, packed in zip(ids.slice(at, end - at).to_pylist(), enc.encode(part)):

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -18,7 +19,7 @@ from quaymark.llm.maxent import score
 from quaymark.llm.minhash import K, _met, least_by_union, least_shared, near_duplicates
 from quaymark.llm.mixing import mix
 from quaymark.llm.quality import quality
-from quaymark.llm.token_store import ShardReader, read_tokens, write_tokens
+from quaymark.llm.token_store import LibraryEncoder, ShardReader, read_tokens, write_tokens
 from quaymark.llm.warc import derive, derivatives, html_text, read_records, record_id, responses, serialise, split_http
 
 P = pytest.importorskip("public_tokenizers")
