@@ -143,6 +143,18 @@ def test_token_store(spark, docs, empty, tmp_path):
     assert read_tokens(spark, f"file://{tmp_path}/e", none).count() == 0
 
 
+def test_library_encoder_cuts_where_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    whole, cut, rnd = Tokenizer.from_file(path), LibraryEncoder(path), random.Random(7)
+    whole.encode_special_tokens = True
+    bits = [" ", "  ", "\n", "\t", " \n", "a", "é", "word", "don't", "\x85", "\u3000", "<|endoftext|>", "1", "中", "\x1c", "x" * 70]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    for _ in range(2):  # nothing known, then all
+        assert cut.encode(texts) == [np.array(e.ids, "<u2").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("words,pct", [(3, 85), (5, 80)])
 def test_near_duplicates(docs, empty, words, pct):
     sets = {}
