@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RECORD = "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, headers map<string,string>, block binary"
+_NAMES = [x.split()[0] for x in RECORD.split(", ")]
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -105,45 +106,55 @@ def read_records(data: bytes):
         yield r | {"headers": head, "block": block}
 
 
+def _slices(batches, rows: int = 256):
+    """Batches of few rows, as pages can be long."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Response records (with the page's id) for a table of pages. Null html is an empty body; null ids and URLs are allowed."""
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.concat(head.cast("binary"), body).alias("block"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.concat(head.cast("binary"), body).alias("block"))
+
+    names = ["page_id", *_NAMES]
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            out = []
-            for pid, url, block in zip(pdf["page_id"].astype(object), pdf["url"], pdf["block"]):
-                block = bytes(block)
-                pid = None if pd.isna(pid) else int(pid)
-                heads = {"WARC-Block-Digest": digest(block), "WARC-Payload-Digest": digest(split_http(block)[2])}
-                out.append((pid, "response", record_id(f"response {pid} {url} {heads['WARC-Block-Digest']}"), None, url, date, "application/http; msgtype=response", heads, block))
-            yield pd.DataFrame(out, columns=["page_id", *[x.split()[0] for x in RECORD.split(", ")]])
+        text, long = pa.string(), pa.int64()
+        types = pa.schema(list(zip(names, [long, text, text, text, text, text, text, pa.map_(text, text), pa.binary()])))
+        for batch in _slices(batches):
+            ids, urls, blocks = (batch.column(i).to_pylist() for i in range(3))
+            digests = [(digest(b), digest(split_http(b)[2])) for b in blocks]
+            record_ids = [record_id(f"response {i} {url} {d}") for i, url, (d, _) in zip(ids, urls, digests)]
+            heads = [[("WARC-Block-Digest", d), ("WARC-Payload-Digest", p)] for d, p in digests]
+            n = len(ids)
+            cols = [ids, ["response"] * n, record_ids, [None] * n, urls, [date] * n, ["application/http; msgtype=response"] * n, heads, batch.column(2)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, types)], schema=types)
 
-    return rows.mapInPandas(run, f"page_id long, {RECORD}")
+    return rows.mapInArrow(run, f"page_id long, {RECORD}")
 
 
 def derivatives(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """keep columns and the two derived records of each response row; other record types give none."""
     keep = keep or []
-    names = [x.split()[0] for x in RECORD.split(", ")]
+    names = _NAMES
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in records.select(*keep).schema] + [RECORD]) if keep else RECORD
 
     def run(batches):
         import pyarrow as pa
 
-        types = None
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                r["headers"] = dict(r["headers"] or [])
-                rows += [{k: r[k] for k in keep} | d | {"headers": list(d["headers"].items())} for d in derive(r)]
-            types = types or pa.schema([batch.schema.field(n) for n in [*keep, *names]])
-            for i in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_pylist(rows[i : i + 256], types)
+        for batch in _slices(batches):
+            types = pa.schema([batch.schema.field(n) for n in [*keep, *names]])
+            rows = batch.select(names).to_pylist()
+            two = [derive(r | {"headers": dict(r["headers"] or [])}) for r in rows]
+            derived = [d | {"headers": list(d["headers"].items())} for pair in two for d in pair]
+            twice = pa.array([i for i in range(len(rows)) for _ in range(2)], pa.int64())
+            cols = [batch.column(k).take(twice) for k in range(len(keep))] + [pa.array([d[n] for d in derived], types.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays(cols, schema=types)
 
     return records.where("warc_type = 'response'").select(*keep, *names).mapInArrow(run, schema)
 
