@@ -4,8 +4,9 @@ A shard file holds, in order: MAGIC, the dictionary's SHA-256, the frames, an in
 length, ids, id of the document, has an id) for each document, and a tail (index offset, documents, ids in all). A
 reader checks the dictionary's hash and can fetch any document by one seek. The dictionary is a file beside the shards.
 
-The dictionary is trained on serialised id arrays of a bounded sample, SAMPLE documents with the smallest hashes of
-their ids, of which at most SAMPLE_BYTES are used; compression with it is lossless whatever the sample.
+The dictionary is trained on serialised id arrays of a bounded sample: about SAMPLE texts, those whose hash is low enough
+for their share of all rows, equal rows once, of which at most SAMPLE_BYTES are used; compression with it is lossless
+whatever the sample.
 """
 
 from __future__ import annotations
@@ -207,10 +208,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = rows.select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h", "text").limit(SAMPLE).select("text").collect()
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    hashed = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text").where(F.col("h") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    sample = sorted((tuple(r) for r in hashed.dropDuplicates(["h"]).limit(2 * SAMPLE).collect()), key=lambda r: r[0])
     enc, samples, size = LibraryEncoder(tokenizer_path), [], 0
     for at in range(0, len(sample), 50):
-        samples += enc.encode([text for (text,) in sample[at : at + 50]])
+        samples += enc.encode([text for _, text in sample[at : at + 50]])
         size = sum(map(len, samples))
         if size > SAMPLE_BYTES:
             break
