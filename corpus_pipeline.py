@@ -14,34 +14,46 @@ from quaymark.llm.mixing import mix
 
 #: A text is rejected when no language has at least this share of its words.
 LEAST_SHARE = 0.4
+#: Numbers the rows from the first stage to the mix, which repeats rows: ids may be null or shared, so stages go by rows.
+ROW = "__row"
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with ROW. The number of a row is written before any use, so that all later reads agree on it."""
+    return docs if ROW in docs.columns else table(docs.withColumn(ROW, F.monotonically_increasing_id()), shared_dir(spark), "numbered")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters and one prevailing language."""
+    """Documents with letters and one prevailing language, numbered."""
     labelled = identify(docs, train(docs), docs.columns, prefix="__language_")
-    return labelled.where((F.col("__language_lang_pred") != "und") & (F.col("__language_score") >= LEAST_SHARE)).select(*docs.columns)
+    return labelled.where((F.col("__language_lang_pred") != "und") & (F.col("__language_score") >= LEAST_SHARE)).select(*docs.columns, F.monotonically_increasing_id().alias(ROW))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    gone = exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    rows = _numbered(spark, docs)
+    gone = exact_dedup(rows, keep=(ROW,)).where("not kept").select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    rows = _numbered(spark, docs)
+    gone = near_duplicates(rows, row_col=ROW).where("not kept").select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: words taken by its size, rounded up or down by a fixed draw."""
-    rows, _, _ = mix(docs)
-    draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = rows.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + draw)).cast("int")).alias("times"))
-    times = times.withColumnRenamed("doc_id", "mix_id")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["mix_id"])).where("times > 0")
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*docs.columns)
+    """Every row as often as the mix takes it: words taken by its size, rounded up or down by a fixed draw."""
+    numbered = _numbered(spark, docs)
+    rows, _, _ = mix(numbered, keep=(ROW,))
+    # null ids draw by their rows: one draw for all would round all of them the same way
+    seed = F.xxhash64(F.lit("copies"), F.coalesce("doc_id", ROW))
+    draw = F.pmod(seed, F.lit(1 << 20)) / F.lit(float(1 << 20))
+    times = rows.select(ROW, F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + draw)).cast("int").alias("times"))
+    joined = numbered.join(times, ROW).where("times > 0")
+    names = [c for c in docs.columns if c != ROW]
+    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*names)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,8 +61,8 @@ def radix_groups(rows: DataFrame, norm: str, at: str) -> DataFrame:
     return out.select(*names, "row_no", F.when(F.col("g.grp").isNotNull(), F.col("g")).alias("group"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row of docs: keep columns, doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal normalised texts the row with the most code points in its original text stays, then the smallest id; rows
     that repeat an id and a text count one by one, and one of them stays. A null id ranks after all others; keep_id is
@@ -71,13 +71,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at = shared_dir(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("points"), norm.alias("norm")).select("doc_id", "points", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").cast("binary").alias("norm"))
+    rows = docs.select(*keep, F.col(id_col).alias("doc_id"), F.length(text).alias("points"), norm.alias("norm")).select(*keep, "doc_id", "points", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").cast("binary").alias("norm"))
     grouped = radix_groups(rows, "norm", at)
-    alone = grouped.where("group is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    alone = grouped.where("group is null").select(*keep, "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     same = grouped.where("group is not null")
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_no"))
-    keep = same.groupBy("group").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    copies = same.join(keep, "group").select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("best.row_no")).alias("kept"), "text_sha256"
+    chosen = same.groupBy("group").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    copies = same.join(chosen, "group").select(
+        *keep, "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("best.row_no")).alias("kept"), "text_sha256"
     )
     return alone.unionByName(copies)

@@ -69,28 +69,29 @@ def _least(union, within, k: int, threshold: float) -> F.Column:
     return out.otherwise(F.lit(least_shared(k, threshold)))
 
 
-def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, k1, k2 (hash of id and text), n_shingles, digest of the set, sketch."""
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """doc_id, row (null without row_col), k1, k2 (hash of id and text), n_shingles, digest of the set, sketch."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), t).alias("k1"), F.xxhash64(t, F.col(id_col), F.lit(1)).alias("k2"), t.alias("text"))
+    row = (F.lit(None) if row_col is None else F.col(row_col)).cast("long").alias("row")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row, F.xxhash64(F.col(id_col), t).alias("k1"), F.xxhash64(t, F.col(id_col), F.lit(1)).alias("k2"), t.alias("text"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for lo, hi, texts in cut(batch.column(3)):
+            for lo, hi, texts in cut(batch.column(4)):
                 sets = shingle_sets(texts, words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(i).slice(lo, hi - lo) for i in range(3)),
+                        *(batch.column(i).slice(lo, hi - lo) for i in range(4)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([s[:K].astype("int64") for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "k1", "k2", "n_shingles", "digest", "sketch"],
+                    ["doc_id", "row", "k1", "k2", "n_shingles", "digest", "sketch"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, digest binary, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, row long, k1 long, k2 long, n_shingles long, digest binary, sketch array<long>")
 
 
 def cut(column, size: int = 2_000_000):
@@ -259,17 +260,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold_pct: in
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id, n_links, kept.
+def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """A row for each row of docs: row_col, doc_id, n_shingles, component_id, n_links, kept.
 
     Texts are linked when 100 * intersection >= threshold_pct * union of their shingle sets. component_id is the smallest
     id reachable, n_links the confirmed links of the row's class. Null, empty and wordless texts have empty sets, are
     linked with nothing and keep themselves. Rows that repeat an id share its component. Null ids come after all others.
+    kept goes by ids, and holds for every row that has the smallest one; with row_col, which numbers the rows (bigint), it
+    goes by rows, and holds for one row of each component, among those with the smallest id.
     """
     spark, at, t = docs.sparkSession, shared_dir(docs.sparkSession), threshold_pct / 100
-    rows = table(sketches(docs, words, id_col, text_col), at, "sketches")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", F.col("n_shingles").alias("n"), "sketch")).alias("r")
-    classes = rows.where("n_shingles > 0").groupBy("digest").agg(best).select("digest", "r.doc_id", "r.k1", "r.k2", "r.n", "r.sketch").withColumn("cid", F.monotonically_increasing_id())
+    rows = table(sketches(docs, words, id_col, text_col, row_col), at, "sketches")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "k1", "k2", F.col("n_shingles").alias("n"), "sketch")).alias("r")
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(best).select("digest", "r.doc_id", "r.row", "r.k1", "r.k2", "r.n", "r.sketch").withColumn("cid", F.monotonically_increasing_id())
     classes = table(classes, at, "classes")
     # lists
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
@@ -319,15 +322,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id
         if good.limit(1).count():
             labels = components(edges, at, f"round-{r}")
     # back to rows
-    named = classes.select("digest", "cid", "doc_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = classes.select("digest", "cid", "doc_id", "row").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("r")
+    first = named.groupBy("label").agg(best).select("label", F.col("r.doc_id").alias("component_id"), F.col("r.row").alias("keep_row"))
     counts = None
     for x in links:
         ends = x.select(F.explode(F.array("a", "b")).alias("cid"))
         counts = ends if counts is None else counts.union(ends)
     counts = counts.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links")) if counts is not None else spark.createDataFrame([], "cid long, n_links long")
-    by_class = named.join(first, "label").join(counts, "cid", "left").select("digest", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(by_class, "digest")
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    every = out.select("doc_id", "n_shingles", "component_id", "n_links").unionByName(empty)
-    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by_class = named.join(first, "label").join(counts, "cid", "left").select("digest", "component_id", "keep_row", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = rows.where("n_shingles > 0").select("doc_id", "row", "n_shingles", "digest").join(by_class, "digest")
+    empty = rows.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("keep_row"), F.lit(0).cast("long").alias("n_links"))
+    every = out.select("doc_id", "row", "n_shingles", "component_id", "keep_row", "n_links").unionByName(empty)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) if row_col is None else F.col("row") == F.col("keep_row")
+    return every.select(*([] if row_col is None else [F.col("row").alias(row_col)]), "doc_id", "n_shingles", "component_id", "n_links", kept.alias("kept"))

@@ -96,10 +96,10 @@ def _offsets(sized: DataFrame) -> DataFrame:
     return keyed.withColumn("inside", inside).join(base.select("rank", "bucket", "base"), ["rank", "bucket"]).withColumn("start", F.col("base") + F.col("inside")).drop("bucket", "inside", "base")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, block: int = BLOCK, seed: int = 1):
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, block: int = BLOCK, seed: int = 1, keep: tuple[str, ...] = ()):
     """(rows, slots, pieces).
 
-    rows: row_no, doc_id, source, size, source_size, target, taken, a row for each row of docs. slots: see plan_slots().
+    rows: row_no, keep columns, doc_id, source, size, source_size, target, taken, a row for each row of docs. slots: see plan_slots().
     pieces: shard, rank, slot, row_no, first, words - which words of which row fill a slot.
 
     A document of no words (or null text) has size 0 and takes 0; a null source is a source of its own, ordered last;
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     because a source has at most twice as many slots as blocks.
     """
     at = shared_dir(docs.sparkSession)
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row_no"))
+    read = docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row_no"))
     sized = table(read, at, "sized")
     targets = table(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share), at, "targets")
     slots = plan_slots(targets, block, seed)
@@ -120,5 +120,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = spans.join(slots.hint("merge"), ["rank", "block"]).select("shard", "rank", "slot", "row_no", "first", "words")
     used = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = spans.join(used.hint("merge"), ["rank", "block"]).groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    rows = named.join(taken.hint("merge"), "row_no", "left").select("row_no", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    rows = named.join(taken.hint("merge"), "row_no", "left").select("row_no", *keep, "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return rows, slots, pieces

@@ -294,3 +294,31 @@ def test_pipeline(spark, tmp_path, docs):
     docs.where("doc_id <> 13").select("doc_id", "text", "lang", "source").write.parquet(f"{tmp_path}/documents.parquet")
     out = {r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()}
     assert out and not out & {2, 6, 7, 8} and [n for n, _ in cp.STAGES] == ["language_id", "exact_dedup", "minhash_dedup", "mixing", "byte_bpe"]
+
+
+def test_pipeline_goes_by_rows(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    twice, near, shared, null, other, same = (own() for _ in range(6))
+    rows = [
+        (1, twice), (1, twice), (2, own()), (2, near + " a b"), (3, near + " c d"), (4, shared), (5, shared), (5, own()),
+        (None, null), (None, null), (None, own()), (6, other), (None, other + " e"), (None, same + " f"), (None, same + " g"), (8, own()),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    want = lambda gone: sorted(t for k, (_, t) in enumerate(rows) if k not in gone)
+    texts = lambda d: sorted(r["text"] for r in d.collect())
+    exact = cp.exact_stage(spark, docs, "")
+    assert texts(exact) == want({1, 6, 9}) and exact.columns == docs.columns
+    left = [t for t in texts(cp.near_stage(spark, exact, "")) if not t.endswith((" f", " g"))]
+    assert left == want({1, 4, 6, 9, 12, 13, 14})
+    assert sum(t.endswith((" f", " g")) for t in texts(cp.near_stage(spark, exact, ""))) == 1
+    # each row as often as its own words are taken, not as another row of its id
+    from quaymark.llm.mixing import mix as mixed
+
+    few = spark.createDataFrame([(None if k % 2 else 9, own(), "en", f"s{k % 3}") for k in range(12)], docs.schema).coalesce(1)
+    times = Counter(r["text"] for r in cp.mix_stage(spark, few, "").collect())
+    row_of = {r["row_no"]: r["taken"] / r["size"] for r in mixed(few)[0].collect()}
+    got = [times[t] for t, in few.select("text").collect()]
+    assert all(int(x) <= n <= int(x) + 1 for n, (_, x) in zip(got, sorted(row_of.items())))
