@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quaymark.llm.bpe import encode_documents
 from quaymark.llm.common import documents, shared_dir, table
 from quaymark.llm.exact_dedup import exact_dedup
-from quaymark.llm.language import identify, train
+from quaymark.llm.language import WORDS, identify, train
 from quaymark.llm.minhash import near_duplicates
 from quaymark.llm.mixing import mix
 
@@ -23,9 +23,24 @@ def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return docs if ROW in docs.columns else table(docs.withColumn(ROW, F.monotonically_increasing_id()), shared_dir(spark), "numbered")
 
 
+def _with_letters(docs: DataFrame) -> DataFrame:
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array([WORDS.search(t.as_py() or "") is not None for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters and one prevailing language, numbered."""
-    labelled = identify(docs, train(docs), docs.columns, prefix="__language_")
+    """Documents with letters and one prevailing language, numbered. Where there is no language to learn, those with letters."""
+    model = train(docs)
+    if not model.labels:
+        return _with_letters(docs).select("*", F.monotonically_increasing_id().alias(ROW))
+    labelled = identify(docs, model, docs.columns, prefix="__language_")
     return labelled.where((F.col("__language_lang_pred") != "und") & (F.col("__language_score") >= LEAST_SHARE)).select(*docs.columns, F.monotonically_increasing_id().alias(ROW))
 
 

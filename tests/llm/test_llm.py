@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quaymark.llm import suffix_dedup as sd
 from quaymark.llm.bpe import Encoder, encode_documents
@@ -322,3 +323,17 @@ def test_pipeline_goes_by_rows(spark):
     row_of = {r["row_no"]: r["taken"] / r["size"] for r in mixed(few)[0].collect()}
     got = [times[t] for t, in few.select("text").collect()]
     assert all(int(x) <= n <= int(x) + 1 for n, (_, x) in zip(got, sorted(row_of.items())))
+
+
+def test_pipeline_without_languages(spark, tmp_path, docs):
+    import corpus_pipeline as cp
+
+    few = docs.where("doc_id <> 13").select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source")
+    few.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [r["doc_id"] for r in cp.language_stage(spark, few, str(tmp_path)).collect()]
+    assert sorted(kept) == sorted(r["doc_id"] for r in few.collect() if re.search(r"[^\W\d_]", r["text"] or ""))
+    assert {r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()} >= {3, 4, 10}
+    # labelled rows there are, but all in the held-out fold
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    one = spark.createDataFrame([(held, EN, "en", "a"), (held, "123", "en", "a")], few.schema)
+    assert [r["text"] for r in cp.language_stage(spark, one, "").collect()] == [EN]
