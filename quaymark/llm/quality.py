@@ -3,7 +3,9 @@
 Each text becomes a vector of transformed statistics. For every language and source the minimum covariance determinant
 is estimated: from three deterministic starts, concentration steps keep the part HALF of rows that lie nearest to the
 current centre and re-estimate centre and covariance from them, and the start that ends with the smallest determinant
-wins. Rows whose squared Mahalanobis distance exceeds a chi-square quantile are outliers.
+wins. Rows whose squared Mahalanobis distance exceeds a chi-square quantile are outliers. To the covariance comes, row by row,
+what a text of that length can't resolve: the mean word length of 60 words varies more than that of 6000, and one symbol,
+line or repetition is a leap where none is usual.
 
 A step is one join of the statistics with a table of a row per group and one aggregation with partial sums, so a hot
 source is summed in many tasks. The quantile that bounds the nearest rows is taken from exact counts in narrow bins of
@@ -24,11 +26,14 @@ FEATURES = ("f0", "f1", "f2", "f3")
 D = len(FEATURES)
 HALF = 0.75
 STEPS = 4
-#: Added to every variance: differences of less than about this much (squared) are never odd.
-FLOOR = 0.05
+#: Shares that are as good as none: symbols a character and repeated lines a word in percent, repeated words a word.
+FEW_SYMBOLS, FEW_LINES, FEW_REPEATS = 0.1, 0.1, 0.015
+#: Words in one repetition of a window of three.
+REPEAT = 6
 #: Quantile beyond which a row is an outlier.
 QUANTILE = 1 - 1e-6
-#: Groups of fewer rows get no estimate, and none of their rows is an outlier.
+#: Groups of fewer rows take the estimate of all rows with their first group column; where these are fewer too, there is no
+#: estimate and no row is an outlier.
 LEAST_ROWS = 5 * D
 BINS = 16  # a power of two of the distance
 
@@ -80,6 +85,7 @@ def base_failed() -> F.Column:
 
 
 def features(stats: DataFrame) -> DataFrame:
+    """stats with f0.. and r0.., the squares of what each feature resolves in a text of that length."""
     n, c = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return stats.withColumns(
         {
@@ -87,43 +93,53 @@ def features(stats: DataFrame) -> DataFrame:
             "f1": F.log1p(100.0 * F.col("n_symbols") / c),
             "f2": F.log1p(100.0 * F.col("n_dup_lines") / n),
             "f3": 2.0 * F.col("n_repeat_words") / n,
+            # word lengths vary about as much as counts of that mean do
+            "r0": 4.0 * (c / n) / n / F.pow(c / n + 1.0, 2),
+            "r1": F.pow(F.log1p(100.0 / c), 2) + math.log1p(FEW_SYMBOLS) ** 2,
+            "r2": F.pow(F.log1p(100.0 / n), 2) + math.log1p(FEW_LINES) ** 2,
+            "r3": F.pow(2.0 * REPEAT / n, 2) + (2.0 * FEW_REPEATS) ** 2,
         }
     )
 
 
+_R = [f"r{i}" for i in range(D)]
+_C = [f"c{i}{j}" for i in range(D) for j in range(i + 1)]
 _M = [f"m{i}" for i in range(D)]
 _L = [f"l{i}{j}" for i in range(D) for j in range(i + 1)]
 
 
 def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, centre m0.., Cholesky factor l00.. of the consistent, floored covariance, and det."""
+    """keys, n, centre m0.., consistent covariance c00.., and det, of the covariance with the rows' mean resolution."""
     sums = [F.count(F.lit(1)).alias("n")] + [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]
-    sums += [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)]
-    g = rows.groupBy(*keys).agg(*sums)
+    sums += [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)] + [F.avg(r).alias(r) for r in _R]
+    g = rows.groupBy(*keys).agg(*sums).withColumns({c: CONSISTENCY * F.col(c) for c in _C})
+    det = F.lit(1.0)
+    for i in range(D):
+        det = det * F.col(f"l{i}{i}")
+    return _factored(g).select(*keys, "n", *_M, *_C, det.alias("det"))
+
+
+def _factored(rows: DataFrame) -> DataFrame:
+    """rows (c00.., r0..) with the Cholesky factor l00.. of the covariance plus the row's resolution."""
     for i in range(D):
         for j in range(i + 1):
-            v = CONSISTENCY * (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOOR if i == j else 0.0)
+            v = F.col(f"c{i}{j}") + F.col(f"r{i}") if i == j else F.col(f"c{i}{j}")
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            g = g.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(FLOOR / 100))) if i == j else v / F.col(f"l{j}{j}"))
-    det = F.lit(1.0)
-    for i in range(D):
-        det = det * F.col(f"l{i}{i}")
-    return g.select(*keys, "n", *_M, *_L, det.alias("det"))
+            # a pivot is never less than the resolution, but for rounding
+            rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.col(f"r{i}") / 2)) if i == j else v / F.col(f"l{j}{j}"))
+    return rows
 
 
-def _distance() -> F.Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    z = []
+def _distance(rows: DataFrame, name: str) -> DataFrame:
+    """rows (f0.., r0.., m0.., c00..) with the squared Mahalanobis distance by forward substitution."""
+    rows = _factored(rows)
     for i in range(D):
         v = F.col(FEATURES[i]) - F.col(f"m{i}")
         for k in range(i):
-            v = v - F.col(f"l{i}{k}") * z[k]
-        z.append(v / F.col(f"l{i}{i}"))
-    total = z[0] * z[0]
-    for x in z[1:]:
-        total = total + x * x
-    return total
+            v = v - F.col(f"l{i}{k}") * F.col(f"z{k}")
+        rows = rows.withColumn(f"z{i}", v / F.col(f"l{i}{i}"))
+    return rows.withColumn(name, sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, D)), F.col("z0") * F.col("z0"))).drop(*_L, *_M, *_C, *[f"z{i}" for i in range(D)])
 
 
 def _nearest(rows: DataFrame, dist: F.Column, keys: list[str], part: float) -> DataFrame:
@@ -137,18 +153,18 @@ def _nearest(rows: DataFrame, dist: F.Column, keys: list[str], part: float) -> D
 
 
 def mcd(rows: DataFrame, at: str) -> DataFrame:
-    """grp and the estimate of the best start. rows: (grp, f0..). Groups below LEAST_ROWS are left out."""
+    """grp and the estimate of the best start. rows: (grp, f0.., r0..). Groups below LEAST_ROWS are left out."""
     med = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f, 0.5, 1000).alias(f"med{i}") for i, f in enumerate(FEATURES)]).where(F.col("n") >= LEAST_ROWS)
     med = table(med, at, "medians")
     dev = rows.join(med, "grp")
     mad = table(dev.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"med{i}")), 0.5, 1000).alias(f"mad{i}") for i, f in enumerate(FEATURES)]), at, "deviations")
-    z = [F.abs(F.col(f) - F.col(f"med{i}")) / (1.4826 * F.col(f"mad{i}") + math.sqrt(FLOOR)) for i, f in enumerate(FEATURES)]
+    z = [F.abs(F.col(f) - F.col(f"med{i}")) / F.sqrt(F.pow(1.4826 * F.col(f"mad{i}"), 2) + F.col(f"r{i}")) for i, f in enumerate(FEATURES)]
     square = z[0] * z[0] + z[1] * z[1] + z[2] * z[2] + z[3] * z[3]
     starts = F.array(square, z[0] + z[1] + z[2] + z[3], F.greatest(*z))
-    rows3 = dev.join(mad, "grp").select("grp", *FEATURES, F.posexplode(starts).alias("start", "d0"))
+    rows3 = dev.join(mad, "grp").select("grp", *FEATURES, *_R, F.posexplode(starts).alias("start", "d0"))
     est = table(_estimate(_nearest(rows3, F.col("d0"), ["grp", "start"], 0.5), ["grp", "start"]), at, "step-0")
     for k in range(1, STEPS + 1):
-        near = _nearest(rows.join(est.drop("n"), "grp"), _distance(), ["grp", "start"], HALF)
+        near = _nearest(_distance(rows.join(est.drop("n"), "grp"), "d"), F.col("d"), ["grp", "start"], HALF)
         est = table(_estimate(near, ["grp", "start"]), at, f"step-{k}")
     best = est.groupBy("grp").agg(F.min(F.struct("det", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
     return est.join(best, ["grp", "start"]).drop("start", "n")
@@ -157,16 +173,23 @@ def mcd(rows: DataFrame, at: str) -> DataFrame:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """A row for each row of docs: doc_id, group columns, the base statistics, base_failed, distance2, kept.
 
-    The estimate uses rows that pass the base rules. distance2 is null, and the row is no outlier, where its group has
-    fewer than LEAST_ROWS of them. Only an excess of symbols or repetition, or odd word lengths, makes a vector odd; the
+    The estimate uses rows that pass the base rules. Where a group has fewer than LEAST_ROWS of them, its rows are held
+    against all rows that share its first group column; distance2 is null, and the row is no outlier, where these are too
+    few as well. Only an excess of symbols or repetition, or odd word lengths, makes a vector odd; the
     length of a text is no feature. Null groups are groups of their own. Repeated rows count one by one.
     """
     at = shared_dir(docs.sparkSession)
-    groups = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in group_cols]), {"ignoreNullFields": "false"})
-    stats = table(features(statistics(docs, id_col, text_col, group_cols)).withColumn("grp", groups).withColumn("base_failed", base_failed()), at, "statistics")
-    est = table(mcd(stats.where("not base_failed").select("grp", *FEATURES), at), at, "estimates")
+    name = lambda cols: F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in cols]), {"ignoreNullFields": "false"})
+    stats = table(features(statistics(docs, id_col, text_col, group_cols)).withColumn("own", name(group_cols)).withColumn("wide", name(group_cols[:1])).withColumn("base_failed", base_failed()), at, "statistics")
+    good = stats.where("not base_failed")
+    # a row a group: where an estimate of its own is wanting
+    small = stats.groupBy("own", "wide").agg(F.count_if(~F.col("base_failed")).alias("n")).where(F.col("n") < LEAST_ROWS)
+    small = table(small.select("own", "wide"), at, "small")
+    wide = good.join(small.select("wide").distinct(), "wide", "left_semi").select(F.concat(F.lit("all "), "wide").alias("grp"), *FEATURES, *_R)
+    est = table(mcd(good.select(F.col("own").alias("grp"), *FEATURES, *_R).unionByName(wide), at), at, "estimates")
     cut = chi2_quantile(QUANTILE, D)
-    scored = stats.join(est, "grp", "left").withColumn("distance2", _distance())
+    named = stats.join(small.select("own", F.lit(True).alias("few")), "own", "left").withColumn("grp", F.when(F.col("few"), F.concat(F.lit("all "), "wide")).otherwise(F.col("own")))
+    scored = _distance(named.join(est, "grp", "left"), "distance2")
     return scored.select(
         "doc_id", *group_cols, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2",
         (~F.col("base_failed") & F.coalesce(F.col("distance2") <= cut, F.lit(True))).alias("kept"),

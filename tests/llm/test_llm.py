@@ -337,3 +337,23 @@ def test_pipeline_without_languages(spark, tmp_path, docs):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
     one = spark.createDataFrame([(held, EN, "en", "a"), (held, "123", "en", "a")], few.schema)
     assert [r["text"] for r in cp.language_stage(spark, one, "").collect()] == [EN]
+
+
+def test_quality_outlier_of_each_feature(spark):
+    rng, words = random.Random(4), EN.split()
+    plain = lambda n: [f"{rng.choice(words)}{rng.randrange(99)}" for _ in range(n)]
+    rows = [(i, " ".join(plain(rng.choice((80, 200, 400)))), "en", "s") for i in range(80)]
+    odd = [w + "xx" for w in plain(200)], [w + "#" * (k % 4 == 0) for k, w in enumerate(plain(200))], plain(180)
+    phrase = plain(6)
+    rows.append((100, " ".join(odd[0]), "en", "s"))  # words longer by two letters
+    rows.append((101, " ".join(odd[1]), "en", "s"))  # a symbol in a quarter of the words
+    rows.append((102, " ".join(odd[2]) + "\n=" * 20, "en", "s"))  # repeated lines
+    rows.append((103, " ".join(plain(130) + phrase * 11), "en", "s"))  # a third of the words repeats itself
+    rows.append((104, " ".join(plain(3000)), "en", "s"))  # long, but as the others
+    rows += [(200, " ".join(plain(200)), "en", "rare"), (201, " ".join(w + "###" for w in plain(200)), "en", "rare")]  # held against its language
+    rows += [(300, " ".join(w + "###" for w in plain(200)), "xx", "rare")]  # a language of one text: nothing to hold it against
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality(docs).collect()}
+    assert len(got) == len(rows) and not any(r["base_failed"] for r in got.values())
+    assert sorted(i for i, r in got.items() if not r["kept"]) == [100, 101, 102, 103, 201]
+    assert got[200]["distance2"] is not None and got[300]["distance2"] is None
