@@ -50,7 +50,7 @@ class Chain:
 
         if not words:
             return np.zeros((0, len(self.labels)), np.float32)
-        rows = [word_features(w[:64], self.lexicon) for w in words]
+        rows = [word_features(w, self.lexicon) for w in words]
         flat = np.fromiter((x for r in rows for x in r), np.int64)
         at = np.cumsum([0] + [len(r) for r in rows[:-1]])
         return np.add.reduceat(self.weights[flat], at).astype(np.float32)
@@ -145,7 +145,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Chain:
             for w in ws[at : at + k]:
                 x[s, c], y[s, c] = vocab.setdefault(w, len(vocab)), g
                 c += 1
-    rows = [word_features(w[:64], lexicon) for w in vocab]
+    rows = [word_features(w, lexicon) for w in vocab]
     flat = np.fromiter((i for r in rows for i in r), np.int64)
     sizes = np.array([len(r) for r in rows])
     at, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rows)), sizes)

@@ -357,3 +357,13 @@ def test_quality_outlier_of_each_feature(spark):
     assert len(got) == len(rows) and not any(r["base_failed"] for r in got.values())
     assert sorted(i for i, r in got.items() if not r["kept"]) == [100, 101, 102, 103, 201]
     assert got[200]["distance2"] is not None and got[300]["distance2"] is None
+
+
+def test_language_reads_long_words_to_their_end(spark):
+    from quaymark.llm.language import fit, identify
+
+    x, y = "a" * 70 + "xz" * 10, "a" * 70 + "yw" * 10
+    model = fit([(f"{x} " * 60, "p"), (f"{y} " * 60, "q")])
+    rows = spark.createDataFrame([(0, x), (1, y), (2, "a" * 5000 + "xz" * 500), (3, "a" * 5000 + "yw" * 500)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(rows, model, ["doc_id"]).collect()}
+    assert got == {0: "p", 1: "q", 2: "p", 3: "q"}
