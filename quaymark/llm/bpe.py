@@ -1,4 +1,4 @@
-"""Byte-level BPE by merge replay over the distinct words of a shard.
+"""Byte-level BPE by merge replay over the distinct words that a batch of texts brings into a task.
 
 The words that a batch of texts brings in for the first time are laid out one after the other as tokens with links to
 their neighbours. An inverted index from each adjacent pair, named by the rank it merges to, to its positions is the
@@ -7,7 +7,7 @@ pairs beside it are looked up again. A rank lower than the current one is taken
 left to right, so each word goes through the same merges as if it were encoded alone.
 
 Texts are cut at white space first; a piece keeps its leading space. The pattern never matches across such a cut, so
-pieces can be remembered with their ids, and a shard encodes each distinct word once.
+pieces can be remembered with their ids, and a task encodes a word again only if it is long or its memory was emptied.
 """
 
 from __future__ import annotations
