@@ -261,10 +261,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold_pct: in
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """A row for each row of docs: row_col, doc_id, n_shingles, component_id, n_links, kept.
+    """A row for each row of docs: row_col, doc_id, n_shingles, component_id, n_joining_links, kept.
 
     Texts are linked when 100 * intersection >= threshold_pct * union of their shingle sets. component_id is the smallest
-    id reachable, n_links the confirmed links of the row's class. Null, empty and wordless texts have empty sets, are
+    id reachable, n_joining_links the links of the row's class that were
+    confirmed while components were joined (pairs already in one component aren't compared). Null, empty and wordless texts have empty sets, are
     linked with nothing and keep themselves. Rows that repeat an id share its component. Null ids come after all others.
     kept goes by ids, and holds for every row that has the smallest one; with row_col, which numbers the rows (bigint), it
     goes by rows, and holds for one row of each component, among those with the smallest id.
@@ -329,10 +330,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id
     for x in links:
         ends = x.select(F.explode(F.array("a", "b")).alias("cid"))
         counts = ends if counts is None else counts.union(ends)
-    counts = counts.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links")) if counts is not None else spark.createDataFrame([], "cid long, n_links long")
-    by_class = named.join(first, "label").join(counts, "cid", "left").select("digest", "component_id", "keep_row", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counts = counts.groupBy("cid").agg(F.count(F.lit(1)).alias("n_joining_links")) if counts is not None else spark.createDataFrame([], "cid long, n_joining_links long")
+    by_class = named.join(first, "label").join(counts, "cid", "left").select("digest", "component_id", "keep_row", F.coalesce("n_joining_links", F.lit(0)).alias("n_joining_links"))
     out = rows.where("n_shingles > 0").select("doc_id", "row", "n_shingles", "digest").join(by_class, "digest")
-    empty = rows.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("keep_row"), F.lit(0).cast("long").alias("n_links"))
-    every = out.select("doc_id", "row", "n_shingles", "component_id", "keep_row", "n_links").unionByName(empty)
+    empty = rows.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("keep_row"), F.lit(0).cast("long").alias("n_joining_links"))
+    every = out.select("doc_id", "row", "n_shingles", "component_id", "keep_row", "n_joining_links").unionByName(empty)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) if row_col is None else F.col("row") == F.col("keep_row")
-    return every.select(*([] if row_col is None else [F.col("row").alias(row_col)]), "doc_id", "n_shingles", "component_id", "n_links", kept.alias("kept"))
+    return every.select(*([] if row_col is None else [F.col("row").alias(row_col)]), "doc_id", "n_shingles", "component_id", "n_joining_links", kept.alias("kept"))

@@ -367,3 +367,8 @@ def test_language_reads_long_words_to_their_end(spark):
     rows = spark.createDataFrame([(0, x), (1, y), (2, "a" * 5000 + "xz" * 500), (3, "a" * 5000 + "yw" * 500)], "doc_id long, text string")
     got = {r["doc_id"]: r["lang_pred"] for r in identify(rows, model, ["doc_id"]).collect()}
     assert got == {0: "p", 1: "q", 2: "p", 3: "q"}
+
+
+def test_near_duplicates_names_the_links_it_counts(docs):
+    got = near_duplicates(docs, 3, 85)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_joining_links", "kept"]
