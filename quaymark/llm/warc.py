@@ -42,17 +42,17 @@ def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"
 
 
-def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, headers and body of an HTTP message; one without a blank line is all body."""
+def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status line, headers in their order (names can repeat) and body of an HTTP message; one without a blank line is all body."""
     head, found, body = block.partition(b"\r\n\r\n")
     if not found or not head.startswith(b"HTTP/"):
-        return "", {}, block
+        return "", [], block
     lines = head.decode("latin-1").split("\r\n")
-    return lines[0], {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, body
+    return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], body
 
 
-def _charset(headers: dict[str, str], body: bytes) -> str:
-    kind = next((v for k, v in headers.items() if k.lower() == "content-type"), "")
+def _charset(headers: list[tuple[str, str]], body: bytes) -> str:
+    kind = next((v for k, v in headers if k.lower() == "content-type"), "")
     m = re.search(r"charset=[\"']?([\w-]+)", kind) or re.search(r"<meta[^>]+charset=[\"']?([\w-]+)", body[:4096].decode("latin-1"), re.I)
     name = m[1] if m else "utf-8"
     try:
@@ -71,7 +71,7 @@ def derive(response: dict) -> list[dict]:
     source = {k: v for k, v in (response["headers"] or {}).items() if v is not None}
     block_digest, payload_digest = source.get("WARC-Block-Digest") or digest(block), source.get("WARC-Payload-Digest") or digest(body)
     fields = [("source-status", status), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-payload-length", str(len(body))), ("conversion-record-id", record_id(f"{rid} conversion"))]
-    fields += [(f"source-header-{k}", v) for k, v in http.items()] + [(f"source-warc-{k}", v) for k, v in sorted(source.items())]
+    fields += [(f"source-header-{k}", v) for k, v in http] + [(f"source-warc-{k}", v) for k, v in sorted(source.items())]
     meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode()
     out = []
     for kind, data, content in (("metadata", meta, "application/warc-fields"), ("conversion", text, "text/plain")):

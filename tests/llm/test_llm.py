@@ -372,3 +372,9 @@ def test_language_reads_long_words_to_their_end(spark):
 def test_near_duplicates_names_the_links_it_counts(docs):
     got = near_duplicates(docs, 3, 85)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "n_joining_links", "kept"]
+
+
+def test_warc_keeps_repeated_headers():
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nVia: x\r\nSet-Cookie: b=2\r\n\r\nbody"
+    meta = derive({"record_id": record_id("x"), "target_uri": None, "date": None, "headers": None, "block": block})[0]["block"].decode()
+    assert [x for x in meta.split("\r\n") if x.startswith("source-header-")] == ["source-header-Set-Cookie: a=1", "source-header-Via: x", "source-header-Set-Cookie: b=2"]
