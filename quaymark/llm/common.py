@@ -30,6 +30,13 @@ def table(df: DataFrame, at: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, at: str, *names: str) -> None:
+    """Removes tables of the folder that nothing reads any more: what was made of them has been written."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

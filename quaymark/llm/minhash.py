@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import partitions, shared_dir, table
+from quaymark.llm.common import drop, partitions, shared_dir, table
 from quaymark.llm.shingles import shingle_sets
 
 K = 128
@@ -61,15 +61,17 @@ def least_by_union(k: int, threshold: float) -> list[tuple[int, int]]:
     return steps
 
 
-def _least(union, within, k: int, threshold: float) -> F.Column:
-    """What least_by_union() says of a column of sizes; within is for unions that fit the sketch."""
+def _least(union, within, k: int | None, threshold: float) -> F.Column:
+    """What least_by_union() says of a column of sizes; within is for unions that fit the sketch, as all do without k."""
+    if k is None:
+        return within
     out = F.when(union <= k, within)
     for size, m in least_by_union(k, threshold):
         out = out.when(union <= size, F.lit(m))
     return out.otherwise(F.lit(least_shared(k, threshold)))
 
 
-def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, row_col: str | None = None, k: int | None = K) -> DataFrame:
     """doc_id, row (null without row_col), k1, k2 (hash of id and text), n_shingles, digest of the set, sketch."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     row = (F.lit(None) if row_col is None else F.col(row_col)).cast("long").alias("row")
@@ -86,7 +88,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, row_col: s
                         *(batch.column(i).slice(lo, hi - lo) for i in range(4)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        pa.array([s[:K].astype("int64") for s in sets], pa.list_(pa.int64())),
+                        pa.array([s[:k].astype("int64") for s in sets], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "row", "k1", "k2", "n_shingles", "digest", "sketch"],
                 )
@@ -109,6 +111,7 @@ def cut(column, size: int = 2_000_000):
 
 def components(edges: DataFrame, at: str, name: str) -> DataFrame:
     """node, label (smallest node of its component) of all nodes in edges (a, b)."""
+    spark = edges.sparkSession
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct()
     both = table(both, at, f"{name}-edges")
     labels = table(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), at, f"{name}-labels-0")
@@ -120,20 +123,38 @@ def components(edges: DataFrame, at: str, name: str) -> DataFrame:
         step = labels.join(low, "node").select("node", F.least("label", "low").alias("up"), "label")
         jump = labels.select(F.col("node").alias("up"), F.col("label").alias("beyond"))
         new = table(step.join(jump, "up").select("node", F.least("up", "beyond").alias("label"), (F.least("up", "beyond") < F.col("label")).alias("moved")), at, f"{name}-labels-{k}")
+        drop(spark, at, f"{name}-labels-{k - 1}")
         labels = new.select("node", "label")
         if not new.where("moved").limit(1).count():
+            drop(spark, at, f"{name}-edges")
             return labels
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
+def joined(labels: DataFrame, links: DataFrame, at: str, name: str) -> DataFrame:
+    """labels after links (a, b) were added. Only what the links join is gone through, by its labels."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.toDF(end, f"{end}l"), end, "left").withColumn(f"{end}l", F.coalesce(f"{end}l", end))
+    ends = table(ends.select("a", "b", "al", "bl"), at, f"{name}-ends")
+    moved = components(ends.where("al <> bl").select(F.col("al").alias("a"), F.col("bl").alias("b")), f"{at}/{name}", "work")
+    new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("al").alias("label")), F.struct(F.col("b").alias("node"), F.col("bl").alias("label")))).alias("n")).select("n.*")
+    every = labels.unionByName(new).distinct().join(moved.toDF("label", "up"), "label", "left")
+    out = table(every.select("node", F.coalesce("up", "label").alias("label")), at, f"{name}-labels")
+    drop(labels.sparkSession, at, name, f"{name}-ends")
+    return out
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, pct: int, k: int | None = K) -> DataFrame:
     """Pairs (a, b) whose sizes and union sketches allow the threshold."""
     c = classes.select("cid", "n", "sketch")
     p = pairs.join(c.toDF("a", "na", "sa"), "a").join(c.toDF("b", "nb", "sb"), "b").where(100 * F.least("na", "nb") >= pct * F.greatest("na", "nb"))
-    p = p.withColumn("union", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K))
+    if k is None:
+        return p.select("a", "b")  # the sets are confirmed next
+    p = p.withColumn("union", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
     both = F.size(F.array_intersect(F.array_intersect("union", "sa"), F.col("sb")))
     # sets as similar as that have a union of this size at most
     most = F.floor(100 * (F.col("na") + F.col("nb")) / (100 + pct))
-    return p.where(K * both >= F.size("union") * _least(most, F.lit(K * pct / 100 - 1e-6), K, pct / 100)).select("a", "b")
+    return p.where(k * both >= F.size("union") * _least(most, F.lit(k * pct / 100 - 1e-6), k, pct / 100)).select("a", "b")
 
 
 def _incidence(lists, inside):
@@ -155,7 +176,7 @@ def _incidence(lists, inside):
         yield m
 
 
-def _met(sketch, prior, label, n, left, right, pct: int, steps):
+def _met(sketch, prior, label, n, left, right, pct: int, steps, k: int | None = K):
     """(i, j) of the likely pairs of a group, one from left and one from right, that no earlier list holds."""
     import numpy as np
 
@@ -167,29 +188,36 @@ def _met(sketch, prior, label, n, left, right, pct: int, steps):
 
     both, na, nb = together(sketch), n[left][:, None], n[right][None]
     sizes = np.array([len(x) for x in sketch])
-    most = 100 * (na + nb) // (100 + pct)
-    least = np.where(most <= K, K * pct / 100 - 1e-6, steps[1][np.searchsorted(steps[0], most)])
-    union = np.minimum(K, sizes[left][:, None] + sizes[right][None] - both)
-    ok = (label[left][:, None] != label[right][None]) & (100 * np.minimum(na, nb) >= pct * np.maximum(na, nb)) & (K * both >= union * least)
+    union = sizes[left][:, None] + sizes[right][None] - both
+    if k is None:
+        likely = 100 * both >= pct * union
+    else:
+        most = 100 * (na + nb) // (100 + pct)
+        least = np.where(most <= k, k * pct / 100 - 1e-6, steps[1][np.searchsorted(steps[0], most)])
+        union = np.minimum(k, union)
+        likely = k * both >= union * least
+    ok = (label[left][:, None] != label[right][None]) & (100 * np.minimum(na, nb) >= pct * np.maximum(na, nb)) & likely
     if left is right:
         ok = np.triu(ok, 1)
     if ok.any():
         ok &= together(prior) == 0
     i, j = np.nonzero(ok)
-    wide = np.full((len(sketch), K), np.iinfo(np.int64).max)
-    for k, x in enumerate(sketch):
-        wide[k, : len(x)] = x
+    if k is None:
+        return left[i], right[j]
+    wide = np.full((len(sketch), k), np.iinfo(np.int64).max)
+    for row, x in enumerate(sketch):
+        wide[row, : len(x)] = x
     keep = np.zeros(len(i), bool)
     for lo in range(0, len(i), 8192):
         x, y = i[lo : lo + 8192], j[lo : lo + 8192]
         v = np.sort(np.concatenate([wide[left[x]], wide[right[y]]], axis=1), axis=1)
         again = (v[:, 1:] == v[:, :-1]) & (v[:, 1:] < np.iinfo(np.int64).max)
-        rank = np.arange(1, 2 * K)[None] - np.cumsum(again, axis=1) + 1  # of the value among the distinct ones
-        keep[lo : lo + 8192] = K * (again & (rank <= K)).sum(axis=1) >= union[x, y] * least[x, y]
+        rank = np.arange(1, 2 * k)[None] - np.cumsum(again, axis=1) + 1  # of the value among the distinct ones
+        keep[lo : lo + 8192] = k * (again & (rank <= k)).sum(axis=1) >= union[x, y] * least[x, y]
     return left[i[keep]], right[j[keep]]
 
 
-def _across(e: DataFrame, chosen: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
+def _across(e: DataFrame, chosen: DataFrame, classes: DataFrame, pct: int, k: int | None = K) -> DataFrame:
     """Likely pairs (a, b) of members of a list, of different components, each once: in the first list that both chose."""
     blocks = e.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
     values = chosen.select("cid", F.transform("x", lambda y: y["v"]).alias("x"))
@@ -197,13 +225,13 @@ def _across(e: DataFrame, chosen: DataFrame, classes: DataFrame, pct: int) -> Da
     prior = F.slice("x", F.lit(1), F.array_position("x", F.col("v")).cast("int") - 1)
     dealt = full.select("v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "cid", "label", "n", "sketch", prior.alias("prior"))
     dealt = dealt.select("v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "label", "n", "sketch", "prior")
-    known = least_by_union(K, pct / 100)
+    known = least_by_union(k or K, pct / 100)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        steps = np.array([size for size, _ in known]), np.array([m for _, m in known] + [least_shared(K, pct / 100)], float)
+        steps = np.array([size for size, _ in known]), np.array([m for _, m in known] + [least_shared(k or K, pct / 100)], float)
         rest = None
 
         def groups(t, last):
@@ -220,7 +248,7 @@ def _across(e: DataFrame, chosen: DataFrame, classes: DataFrame, pct: int) -> Da
                 left = at if same else at[own[lo:hi] == key[1][lo]]
                 right = left if same else at[own[lo:hi] != key[1][lo]]
                 if hi - lo > 1 and len(left) and len(right):
-                    i, j = _met(sketch[lo:hi], prior[lo:hi], label[lo:hi], n[lo:hi], left, right, pct, steps)
+                    i, j = _met(sketch[lo:hi], prior[lo:hi], label[lo:hi], n[lo:hi], left, right, pct, steps, k)
                     out.append(np.stack([cid[lo:hi][i], cid[lo:hi][j]]))
             pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"]), None if last else t.slice(edges[-1])
@@ -260,7 +288,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold_pct: in
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, k: int | None = K) -> DataFrame:
     """A row for each row of docs: row_col, doc_id, n_shingles, component_id, n_joining_links, kept.
 
     Texts are linked when 100 * intersection >= threshold_pct * union of their shingle sets. component_id is the smallest
@@ -268,18 +296,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id
     confirmed while components were joined (pairs already in one component aren't compared). Null, empty and wordless texts have empty sets, are
     linked with nothing and keep themselves. Rows that repeat an id share its component. Null ids come after all others.
     kept goes by ids, and holds for every row that has the smallest one; with row_col, which numbers the rows (bigint), it
-    goes by rows, and holds for one row of each component, among those with the smallest id.
+    goes by rows, and holds for one row of each component, among those with the smallest id. A sketch keeps k values and may
+    miss a link just at the threshold (see MISS); with k None it keeps the whole set, and no link is lost.
     """
     spark, at, t = docs.sparkSession, shared_dir(docs.sparkSession), threshold_pct / 100
-    rows = table(sketches(docs, words, id_col, text_col, row_col), at, "sketches")
+    rows = table(sketches(docs, words, id_col, text_col, row_col, k), at, "sketches")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "k1", "k2", F.col("n_shingles").alias("n"), "sketch")).alias("r")
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(best).select("digest", "r.doc_id", "r.row", "r.k1", "r.k2", "r.n", "r.sketch").withColumn("cid", F.monotonically_increasing_id())
     classes = table(classes, at, "classes")
+    rows = table(rows.select("doc_id", "row", "n_shingles", "digest"), at, "rows")
+    drop(spark, at, "sketches")
     # lists
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     exact = F.floor((F.col("n") * threshold_pct + 99) / 100)
-    need = F.least(_least(F.floor(F.col("n") * 100 / threshold_pct), F.lit(K), K, t), exact).cast("int")
+    need = F.least(_least(F.floor(F.col("n") * 100 / threshold_pct), exact if k is None else F.lit(k), k, t), exact).cast("int")
     shared = values.join(often.hint("merge"), "v").groupBy("cid", "n").agg(F.collect_list(F.struct("df", "v")).alias("x")).withColumn("need", need).where(F.size("x") >= F.col("need"))
     # how common a class's values are: the text that others were copied from comes first
     central = F.aggregate("x", F.lit(0).cast("long"), lambda acc, e: acc + e["df"])
@@ -291,7 +322,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id
     tx = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.xxhash64(F.col(id_col), tx).alias("k1"), F.xxhash64(tx, F.col(id_col), F.lit(1)).alias("k2"), tx.alias("text"))
     texts = table(source.join(cand, ["k1", "k2"]).select("cid", "text").dropDuplicates(["cid"]), at, "texts")
-    labels = spark.createDataFrame([], "node long, label long")
+    labels, labels_at = spark.createDataFrame([], "node long, label long"), None
     links = []
 
     def open_lists(left, labels):
@@ -302,6 +333,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id
     left = entries
     for r in range(ROUNDS + 1):
         e = table(open_lists(left, labels), at, f"open-{r}")
+        drop(spark, at, f"open-{r - 1}" if r else "entries")
         if not e.limit(1).count():
             break
         if r < ROUNDS:
@@ -312,16 +344,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80, id
             left = led.select("v", "cid", "central")
             pairs = led.where("label <> lead_label")
             pairs = pairs.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
-            likely = _estimated(pairs.distinct(), classes, threshold_pct)
+            likely = _estimated(pairs.distinct(), classes, threshold_pct, k)
         else:
-            likely = _across(e, chosen, classes, threshold_pct)
+            likely = _across(e, chosen, classes, threshold_pct, k)
         good = table(_confirmed(likely, texts, words, threshold_pct), at, f"links-{r}")
         links.append(good)
-        edges = links[0]
-        for x in links[1:]:
-            edges = edges.union(x)
         if good.limit(1).count():
-            labels = components(edges, at, f"round-{r}")
+            labels = joined(labels, good, at, f"round-{r}")
+            if labels_at:
+                drop(spark, at, labels_at)
+            labels_at = f"round-{r}-labels"
+    drop(spark, at, "chosen", "texts", f"open-{r}")
     # back to rows
     named = classes.select("digest", "cid", "doc_id", "row").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("r")

@@ -156,8 +156,8 @@ def test_library_encoder_cuts_where_the_library_does():
         assert cut.encode(texts) == [np.array(e.ids, "<u2").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("words,pct", [(3, 85), (5, 80)])
-def test_near_duplicates(docs, empty, words, pct):
+@pytest.mark.parametrize("words,pct,k", [(3, 85, K), (5, 80, K), (3, 85, None)])
+def test_near_duplicates(docs, empty, words, pct, k):
     sets = {}
     for i, t in all_rows(docs):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
@@ -168,9 +168,9 @@ def test_near_duplicates(docs, empty, words, pct):
             for b in sets:
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= pct * len(sets[a] | sets[b]):
                     low[a] = low[b] = min(low[a], low[b])
-    for r in near_duplicates(docs, words, pct).collect():
+    for r in near_duplicates(docs, words, pct, k=k).collect():
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), low[r["doc_id"]], low[r["doc_id"]] == r["doc_id"])
-    if words == 3:
+    if words == 5:
         assert near_duplicates(empty).count() == 0
     assert 30 <= least_shared(64, 0.85) <= 50
 
@@ -199,6 +199,8 @@ def test_blocks_of_a_long_list_lose_no_link():
         return {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())}
 
     whole = met(every, every)
+    i, j = _met(sets, none, every, n, every, every, 85, None, None)
+    assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} == linked
     assert linked and linked <= whole
     halves = every[:60], every[60:]
     assert met(halves[0], halves[0]) | met(halves[1], halves[1]) | met(*halves) == whole
