@@ -18,8 +18,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaymark.llm.common import partitions, shared_dir, table
+from quaymark.llm.token_store import _fs
+
 RECORD = "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, headers map<string,string>, block binary"
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
+NO_DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -54,20 +58,24 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 def _charset(headers: list[tuple[str, str]], body: bytes) -> str:
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
     m = re.search(r"charset=[\"']?([\w-]+)", kind) or re.search(r"<meta[^>]+charset=[\"']?([\w-]+)", body[:4096].decode("latin-1"), re.I)
-    name = m[1] if m else "utf-8"
+    return m[1] if m else "utf-8"
+
+
+def decoded(headers: list[tuple[str, str]], body: bytes) -> str:
+    """The body by the charset that headers or page name; UTF-8 where there is none, or none that can read these bytes."""
     try:
-        "".encode(name)
-    except LookupError:
-        name = "utf-8"
-    return name
+        return body.decode(_charset(headers, body), "replace")
+    except (LookupError, ValueError):  # no such charset, or one of no text
+        return body.decode("utf-8", "replace")
 
 
 def derive(response: dict) -> list[dict]:
-    """The metadata and the conversion record of a response. An empty body gives an empty text and still both records."""
+    """The metadata and the conversion record of a response. An empty body gives an empty text and still both records. WARC
+    wants a date in every record, so a response without one passes NO_DATE on."""
     block = response["block"] or b""
     status, http, body = split_http(block)
-    text = html_text(body.decode(_charset(http, body), "replace")).encode()
-    rid, uri, date = response["record_id"], response["target_uri"], response["date"]
+    text = html_text(decoded(http, body)).encode("utf-8", "replace")
+    rid, uri, date = response["record_id"], response["target_uri"], response["date"] or NO_DATE
     source = {k: v for k, v in (response["headers"] or {}).items() if v is not None}
     block_digest, payload_digest = source.get("WARC-Block-Digest") or digest(block), source.get("WARC-Payload-Digest") or digest(body)
     fields = [("source-status", status), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-payload-length", str(len(body))), ("conversion-record-id", record_id(f"{rid} conversion"))]
@@ -83,14 +91,14 @@ def derive(response: dict) -> list[dict]:
 def serialise(r: dict) -> bytes:
     """One WARC/1.1 record."""
     block = r["block"] or b""
-    head = [("WARC-Type", r["warc_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["target_uri"]), ("Content-Type", r["content_type"])]
+    head = [("WARC-Type", r["warc_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["date"] or NO_DATE), ("WARC-Target-URI", r["target_uri"]), ("Content-Type", r["content_type"])]
     head += sorted((r["headers"] or {}).items()) + [("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in head if v is not None).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def read_records(data: bytes):
-    """Records of an uncompressed WARC file."""
-    f = io.BytesIO(data)
+def read_records(data):
+    """Records of an uncompressed WARC file, from bytes or a file; one record at a time is in memory."""
+    f = io.BytesIO(data) if isinstance(data, bytes) else data
     while line := f.readline():
         if not line.strip():
             continue
@@ -113,11 +121,29 @@ def _slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
-def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Response records (with the page's id) for a table of pages. Null html is an empty body; null ids and URLs are allowed."""
-    body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
+def _numbered(known: DataFrame) -> DataFrame:
+    """known (page_id, url, html) with nth: a row's number where equal rows exist, else null.
+
+    Equal rows are found by two hashes, counted with partial sums. Only keys are shuffled; the join back is planned by the
+    size of the table of repeated keys, and adaptive execution splits a hot key.
+    """
+    hashes = [F.xxhash64("page_id", "url", "html").alias("h1"), F.xxhash64("html", "url", "page_id", F.lit(1)).alias("h2")]
+    often = known.select(*hashes).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = table(often, shared_dir(known.sparkSession), "repeated")
+    numbered = known.select("*", *hashes, F.monotonically_increasing_id().alias("no"))
+    return numbered.join(often, ["h1", "h2"], "left").select(*known.columns, F.when(F.col("n") > 1, F.col("no")).alias("nth"))
+
+
+def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = NO_DATE) -> DataFrame:
+    """Response records (with the page's id) for a table of pages. Null html is an empty body; null ids and URLs are allowed.
+
+    Identifiers are made of id, URL and page, so they don't depend on how the table is read. As no two records may share
+    one, those of equal rows hold the row's number as well, which is the same as long as the table is read in the same splits.
+    """
+    body = F.col("html").cast("binary")
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.concat(head.cast("binary"), body).alias("block"))
+    known = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = _numbered(known).select("page_id", "url", F.concat(head.cast("binary"), body).alias("block"), "nth")
 
     names = ["page_id", *_NAMES]
 
@@ -127,9 +153,9 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         text, long = pa.string(), pa.int64()
         types = pa.schema(list(zip(names, [long, text, text, text, text, text, text, pa.map_(text, text), pa.binary()])))
         for batch in _slices(batches):
-            ids, urls, blocks = (batch.column(i).to_pylist() for i in range(3))
+            ids, urls, blocks, nth = (batch.column(i).to_pylist() for i in range(4))
             digests = [(digest(b), digest(split_http(b)[2])) for b in blocks]
-            record_ids = [record_id(f"response {i} {url} {d}") for i, url, (d, _) in zip(ids, urls, digests)]
+            record_ids = [record_id(f"response {i} {url} {d}" + ("" if k is None else f" {k}")) for i, url, (d, _), k in zip(ids, urls, digests, nth)]
             heads = [[("WARC-Block-Digest", d), ("WARC-Payload-Digest", p)] for d, p in digests]
             n = len(ids)
             cols = [ids, ["response"] * n, record_ids, [None] * n, urls, [date] * n, ["application/http; msgtype=response"] * n, heads, batch.column(2)]
@@ -161,7 +187,6 @@ def derivatives(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
     """Writes a gzip member for each record, a file for each partition, with a .warc.gz name. Returns (file, records, bytes)."""
-    from quaymark.llm.token_store import _fs
 
     def run(batches):
         import gzip
@@ -174,7 +199,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
         name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
         temp, n, size = f"{base}/.{name}-{uuid.uuid4().hex}", 0, 0
         with fs.open_output_stream(temp, compression=None) as f:
-            for batch in batches:
+            for batch in _slices(batches):
                 for r in batch.to_pylist():
                     data = gzip.compress(serialise(r | {"headers": dict(r["headers"] or [])}), mtime=0)
                     f.write(data)
@@ -182,6 +207,38 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
         fs.move(temp, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"file": [name], "records": [n], "bytes": [size]})
 
-    names = [x.split()[0] for x in RECORD.split(", ")]
-    done = records.select(*names).mapInArrow(run, "file string, records long, bytes long")
+    done = records.select(*_NAMES).mapInArrow(run, "file string, records long, bytes long")
     return records.sparkSession.createDataFrame(done.collect(), "file string, records long, bytes long")  # one row a file
+
+
+def _arrow(rows, types):
+    import pyarrow as pa
+
+    columns = ([list(r[n].items()) if n == "headers" else r[n] for r in rows] for n in _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
+
+
+def read_warc(spark, folder: str, files: DataFrame) -> DataFrame:
+    """Records (RECORD columns) of the files that write_warc() names, a task for each few files, a record at a time."""
+
+    def run(batches):
+        import gzip
+
+        import pyarrow as pa
+
+        text = pa.string()
+        types = pa.schema(list(zip(_NAMES, [text] * 6 + [pa.map_(text, text), pa.binary()])))
+        fs, base = _fs(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_file(f"{base}/{name}") as raw, gzip.open(raw, "rb") as f:
+                    rows = []
+                    for r in read_records(f):
+                        rows.append(r)
+                        if len(rows) == 256:
+                            yield _arrow(rows, types)
+                            rows = []
+                    if rows:
+                        yield _arrow(rows, types)
+
+    return files.select("file").repartition(max(1, min(partitions(spark), files.count())), "file").mapInArrow(run, RECORD)

@@ -21,7 +21,7 @@ from quaymark.llm.minhash import K, _met, least_by_union, least_shared, near_dup
 from quaymark.llm.mixing import mix
 from quaymark.llm.quality import quality
 from quaymark.llm.token_store import LibraryEncoder, ShardReader, read_tokens, write_tokens
-from quaymark.llm.warc import derive, derivatives, html_text, read_records, record_id, responses, serialise, split_http
+from quaymark.llm.warc import derive, derivatives, html_text, read_records, read_warc, record_id, responses, serialise, split_http, write_warc
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, score double, label string, n long"
@@ -106,7 +106,7 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup(empty).count() == 0
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<title>T</title><script>x('</p>')</script><p>a &amp; b<br>c<!-- d -->"), (2, None, None), (2, None, None)], "page_id long, url string, html string")
     rs = responses(pages).collect()
     assert html_text("<p>a &amp; b<br>c<!-- d --> e<style>x") == "a & b\nc e"
@@ -120,6 +120,17 @@ def test_warc(spark):
     assert [(a["record_id"], a["refers_to"], a["block"]) for a in again] == [(r["record_id"], r["refers_to"], bytes(r["block"])) for r in got]
     assert split_http(b"plain")[2] == b"plain" and len(derive({"record_id": record_id("x"), "target_uri": None, "date": None, "headers": None, "block": None})) == 2
     assert derivatives(responses(pages.limit(0))).count() == 0
+    assert len({r["record_id"] for r in rs} | {r["record_id"] for r in got}) == 9  # equal rows too
+    at = f"file://{tmp_path}/warc"
+    back = read_warc(spark, at, write_warc(derivatives(responses(pages)), at)).collect()
+    key = lambda r: (r["record_id"], r["warc_type"], r["refers_to"], r["target_uri"], r["date"], bytes(r["block"]))
+    assert sorted(map(key, back), key=str) == sorted(map(key, got), key=str) and all(r["date"] for r in back)
+
+
+def test_warc_survives_odd_charsets():
+    for name in ("idna", "undefined", "punycode", "rot13", "base64", "utf-16", "nonsense", "latin-1"):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={name}\r\n\r\n".encode() + b"<p>caf\xe9 ab"
+        assert [d["warc_type"] for d in derive({"record_id": record_id("x"), "target_uri": "u", "date": None, "headers": None, "block": block})] == ["metadata", "conversion"]
 
 
 def test_token_store(spark, docs, empty, tmp_path):
