@@ -1,12 +1,16 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Words of a source form a stream, which is cut into blocks of fixed length. Every slot of the mix is drawn for an output
-shard: given the slots a source may fill, their counts by shard are multinomial. Slot k of a source is mapped to a block
-by a pseudorandom permutation of the source's block numbers, another one in each epoch, so no block is used again before
-all have been used; slots then meet their blocks by an equi-join on (source, block number).
-
-Prefix sums over a source go in two steps: buckets of the key, then rows in a bucket, so a source that holds a third of
-all rows is spread over many tasks.
+Words of a source form a stream, which is cut into blocks of fixed length (shorter ones for a source of few words, so that
+its target is met as well). The mix is drawn shard by shard: a table of draws holds, for each output shard and source, how
+many slots of the shard the source fills. Given what a source fills in all, its counts by shard are multinomial: each of
+its slots falls on a shard by a uniform draw, and the draws are counted. Prefix sums over the draws number the slots of a
+source; slot k is mapped to a block by a pseudorandom permutation of the source's block numbers, another one in each
+epoch, so no block is used again before all have been used, and slots meet their blocks by an equi-join on (source, block
+number). What a row gives to the mix is the sum over the shards.
+
+Nothing depends on how the table is read: the order of a stream goes by hashes of ids and texts. Prefix sums over a
+source go in steps: buckets of the key, keys in a bucket, rows of a key, so a source or a copied row that holds a third
+of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +23,10 @@ from quaymark.llm.common import WORD, partitions, shared_dir, table
 BLOCK = 16
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARD_SLOTS = 4096
-BUCKETS = 1024
+#: Blocks that a source has at least, if it has as many words.
+LEAST_BLOCKS = 256
+#: Rows of a bucket of the order, shards of a bucket of shards, and the parts that equal rows are dealt to.
+BUCKET_ROWS, BUCKET_SHARDS, PARTS = 16_384, 4096, 64
 CHUNK = 8_192
 #: Enough steps of the walk: the domain exceeds the blocks by a part of at most 1/28, or by less than 30 numbers.
 WALK = 30
@@ -72,28 +79,53 @@ def permuted(k: F.Column, n: F.Column, seed: list[F.Column]) -> F.Column:
     return F.when(first < n, first).otherwise(walked)
 
 
-def plan_slots(targets: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
-    """rank, slot, shard, block: every slot of the mix. Slots of a large source are made in many tasks."""
-    t = targets.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("slots", F.least(2 * F.col("blocks"), F.round(F.col("target") / block)).cast("long"))
-    t = t.withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0)))).where("slots > 0")
-    chunks = t.select("rank", "blocks", "slots", "all_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
+def _before(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the sum of value over the earlier rows of their keys."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0).cast("long")))
+
+
+def draw_counts(targets: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
+    """rank, shard, length (of a block), blocks, n: how many slots of the shard the source fills, and base: how many of the shards before."""
+    length = F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")
+    t = targets.withColumn("length", length).withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")))
+    # a slot gives a block's mean words
+    t = t.withColumn("slots", F.least(2 * F.col("blocks"), F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).cast("long"))
+    t = t.withColumn("shards", F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(0))) / SHARD_SLOTS)).where("slots > 0")
+    chunks = t.select("rank", "length", "blocks", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
     # by number, so that these few rows aren't coalesced before they grow
     chunks = chunks.repartition(partitions(targets.sparkSession), "rank", "chunk")
     last = F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1
-    slots = chunks.select("rank", "blocks", "all_slots", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("slot"))
-    shard = F.pmod(_mix(F.lit(seed), F.lit("shard"), "rank", "slot"), F.ceil(F.col("all_slots") / SHARD_SLOTS))
+    drawn = chunks.select("rank", "length", "blocks", "shards", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("draw"))
+    drawn = drawn.select("rank", "length", "blocks", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "rank", "draw"), "shards").alias("shard"))
+    counts = drawn.groupBy("rank", "length", "blocks", "shard").agg(F.count(F.lit(1)).alias("n")).withColumn("many", F.floor(F.col("shard") / BUCKET_SHARDS))
+    wide = _before(counts.groupBy("rank", "many").agg(F.sum("n").alias("all")), ["rank"], ["many"], "all", "start").select("rank", "many", "start")
+    near = _before(counts, ["rank", "many"], ["shard"], "n", "inside")
+    return near.join(wide, ["rank", "many"]).select("rank", "shard", "length", "blocks", "n", (F.col("start") + F.col("inside")).alias("base"))
+
+
+def plan_slots(draws: DataFrame, seed: int = 1) -> DataFrame:
+    """shard, rank, slot (number within the source), block: every slot of the mix, from the counts of draw_counts()."""
+    dealt = draws.repartition(partitions(draws.sparkSession), "rank", "shard")
+    slots = dealt.select("shard", "rank", "blocks", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("n") - 1)).alias("slot"))
     epoch = F.floor(F.col("slot") / F.col("blocks"))
     at = permuted(F.pmod("slot", "blocks"), F.col("blocks"), [F.lit(seed), F.col("rank"), epoch])
-    return slots.select("rank", "slot", shard.alias("shard"), at.alias("block"))
+    return slots.select("shard", "rank", "slot", at.alias("block"))
 
 
-def _offsets(sized: DataFrame) -> DataFrame:
-    """sized (row_no, rank, size, ..) with start: words of its source before it. Order: hash bucket, then row."""
-    keyed = sized.withColumn("bucket", F.pmod(F.xxhash64("row_no"), F.lit(BUCKETS)))
-    sums = keyed.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
-    base = sums.withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("rank", "bucket").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return keyed.withColumn("inside", inside).join(base.select("rank", "bucket", "base"), ["rank", "bucket"]).withColumn("start", F.col("base") + F.col("inside")).drop("bucket", "inside", "base")
+def _offsets(sized: DataFrame, buckets: int) -> DataFrame:
+    """sized (row_no, rank, size, h1, h2, ..) with start: words of its source before it. Rows are ordered by h1, h2; rows that
+    are equal in both are alike, whichever comes first."""
+    keyed = sized.withColumn("bucket", F.floor(F.shiftrightunsigned("h1", 32) * buckets / (1 << 32))).withColumn("part", F.pmod(F.xxhash64("row_no"), F.lit(PARTS)))
+    keyed = keyed.repartition("rank", "bucket", "part")
+    key = ["rank", "bucket", "part", "h1", "h2"]
+    inside = _before(keyed, key, ["row_no"], "size", "inside")
+    sums = keyed.groupBy(*key).agg(F.sum("size").alias("words"))
+    sums = _before(sums, ["rank", "bucket"], ["h1", "h2", "part"], "words", "upto")
+    wide = keyed.groupBy("rank", "bucket").agg(F.sum("size").alias("all"))
+    wide = _before(wide, ["rank"], ["bucket"], "all", "base").select("rank", "bucket", "base")
+    found = inside.join(sums.drop("words"), key).join(wide, ["rank", "bucket"])
+    return found.withColumn("start", F.col("base") + F.col("upto") + F.col("inside")).drop("bucket", "part", "inside", "upto", "base", "h1", "h2")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, block: int = BLOCK, seed: int = 1, keep: tuple[str, ...] = ()):
@@ -103,22 +135,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces: shard, rank, slot, row_no, first, words - which words of which row fill a slot.
 
     A document of no words (or null text) has size 0 and takes 0; a null source is a source of its own, ordered last;
-    rows that repeat an id count one by one. The same table gives the same mix. A document takes at most twice its size,
-    because a source has at most twice as many slots as blocks.
+    rows that repeat an id count one by one. The same rows give the same mix, however they are read or dealt. A document
+    takes at most twice its size, because a source has at most twice as many slots as blocks.
     """
     at = shared_dir(docs.sparkSession)
-    read = docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row_no"))
+    kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    doc, text = F.col(id_col), F.col(text_col)
+    own = [F.xxhash64(F.lit(seed), doc, text).alias("h1"), F.xxhash64(text, doc, F.lit(seed)).alias("h2")]
+    read = docs.select(*kept, doc.alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), *own, F.monotonically_increasing_id().alias("row_no"))
     sized = table(read, at, "sized")
-    targets = table(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share), at, "targets")
-    slots = plan_slots(targets, block, seed)
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    buckets = max(1, -(-(sizes.agg(F.max("rows")).head()[0] or 0) // BUCKET_ROWS))
+    targets = table(source_targets(sizes.drop("rows"), share), at, "targets")
+    draws = table(draw_counts(targets, block, seed), at, "draws")
+    slots = plan_slots(draws, seed)
     named = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(sized["*"], targets["rank"], targets["source_size"], targets["target"])
-    placed = _offsets(named.select("row_no", "rank", "size").where("size > 0"))
-    spans = placed.select("row_no", "rank", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    first = F.greatest(F.col("start"), F.col("block") * block)
-    spans = spans.select("row_no", "rank", "block", (first - F.col("start")).alias("first"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - first).alias("words"))
+    placed = _offsets(named.select("row_no", "rank", "size", "h1", "h2").where("size > 0"), buckets).join(draws.select("rank", "length").distinct(), "rank")
+    length, end = F.col("length"), F.col("start") + F.col("size")
+    spans = placed.select("row_no", "rank", "size", "start", "length", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))).alias("block"))
+    first = F.greatest(F.col("start"), F.col("block") * length)
+    spans = spans.select("row_no", "rank", "block", (first - F.col("start")).alias("first"), (F.least(end, (F.col("block") + 1) * length) - first).alias("words"))
     # merge joins: the planner takes exploded rows for as few as they came from, and would broadcast them
     pieces = spans.join(slots.hint("merge"), ["rank", "block"]).select("shard", "rank", "slot", "row_no", "first", "words")
     used = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = spans.join(used.hint("merge"), ["rank", "block"]).groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    rows = named.join(taken.hint("merge"), "row_no", "left").select("row_no", *keep, "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    back = [F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)]
+    rows = named.join(taken.hint("merge"), "row_no", "left").select("row_no", *back, "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return rows, slots, pieces
