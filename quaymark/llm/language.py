@@ -6,7 +6,8 @@ every word's posterior, so a text that switches language is labelled piece by pi
 the largest share of them, and that share is its score.
 
 The model is trained on the driver from a bounded sample: PER_LANGUAGE labelled texts of each language, those with the
-smallest hashes of their ids, and SEQUENCES word sequences that are put together from pieces of them, with switches.
+smallest hashes of their ids, of which PIECE characters at most from a place that the hash names, and SEQUENCES word
+sequences that are put together from pieces of them, with switches.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORDS = re.compile(r"[^\W\d_]+")
-PER_LANGUAGE, SEQUENCES, LENGTH = 300, 1500, 48
+PER_LANGUAGE, PIECE, SEQUENCES, LENGTH = 300, 20_000, 1500, 48
 ROWS = 1 << 16
 ITERATIONS, RATE, DECAY = 40, 0.5, 1e-4
 #: Words with at least this many occurrences in the sample enter the lexicon.
@@ -28,6 +29,14 @@ LEXICON_LEAST = 3
 STRIDE, REMEMBERED, BATCH_WORDS = 128, 1_000_000, 200_000
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters. Signs that only count as word characters, like one half or Roman numerals, are no letters."""
+    found = WORDS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [p for w in found for p in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Hashed rows of a lower-case word's features."""
     w = f"^{word}$"
@@ -114,6 +123,27 @@ def forward_backward(emissions, lengths, transitions, stride: int = STRIDE):
     return alpha[word_row, word_col]
 
 
+def expectations(em, trans):
+    """Of sequences of one length with scores em (sequence, place, label): posteriors, and expected transitions in all."""
+    import numpy as np
+
+    e = np.exp(em - em.max(2, keepdims=True))
+    t = np.exp(trans)
+    alpha, beta = np.empty_like(e), np.ones_like(e)
+    alpha[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
+    for c in range(1, e.shape[1]):
+        v = (alpha[:, c - 1] @ t) * e[:, c]
+        alpha[:, c] = v / v.sum(1, keepdims=True)
+    for c in range(e.shape[1] - 2, -1, -1):
+        v = (beta[:, c + 1] * e[:, c + 1]) @ t.T
+        beta[:, c] = v / v.sum(1, keepdims=True)
+    post = alpha * beta
+    post /= post.sum(2, keepdims=True)
+    pair = alpha[:, :-1, :, None] * t * (beta[:, 1:] * e[:, 1:])[:, :, None, :]
+    pair /= pair.sum((2, 3), keepdims=True)
+    return post, pair.sum((0, 1))
+
+
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Chain:
     """texts: (text, language). Gradient ascent on the likelihood of sequences with switches."""
     import numpy as np
@@ -121,7 +151,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Chain:
     rng = np.random.default_rng(seed)
     by: dict[str, list[list[str]]] = defaultdict(list)
     for text, lang in texts:
-        if words := [w.lower() for w in WORDS.findall(text)]:
+        if words := words_of(text.lower()):
             by[lang].append(words)
     labels = sorted(by)
     if not labels:
@@ -154,28 +184,14 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Chain:
     gold_trans = np.zeros((n_lab, n_lab))
     np.add.at(gold_trans, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     for _ in range(ITERATIONS):
-        em = np.add.reduceat(weights[flat], at)[x]
-        e = np.exp(em - em.max(2, keepdims=True))
-        t = np.exp(trans)
-        alpha, beta = np.empty_like(e), np.ones_like(e)
-        alpha[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
-        for c in range(1, LENGTH):
-            v = (alpha[:, c - 1] @ t) * e[:, c]
-            alpha[:, c] = v / v.sum(1, keepdims=True)
-        for c in range(LENGTH - 2, -1, -1):
-            v = (beta[:, c + 1] * e[:, c + 1]) @ t.T
-            beta[:, c] = v / v.sum(1, keepdims=True)
-        post = alpha * beta
-        post /= post.sum(2, keepdims=True)
-        pair = alpha[:, :-1, :, None] * t * (beta[:, 1:] * e[:, 1:])[:, :, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
+        post, pairs = expectations(np.add.reduceat(weights[flat], at)[x], trans)
         grad = -post
         np.put_along_axis(grad, y[:, :, None], np.take_along_axis(grad, y[:, :, None], 2) + 1, 2)
         by_word = np.stack([np.bincount(x.ravel(), grad[:, :, i].ravel(), len(rows)) for i in range(n_lab)], 1)
         g = np.stack([np.bincount(flat, by_word[owner, i], ROWS) for i in range(n_lab)], 1) / SEQUENCES - DECAY * weights
         gw += g * g
         weights += RATE * g / np.sqrt(gw)
-        h = (gold_trans - pair.sum((0, 1))) / SEQUENCES - DECAY * trans
+        h = (gold_trans - pairs) / SEQUENCES - DECAY * trans
         gt += h * h
         trans += 0.2 * h / np.sqrt(gt)
     return Chain(labels, weights.astype(np.float32), trans, lexicon)
@@ -194,7 +210,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return fit([])
     h = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
     bound = F.create_map(*[F.lit(v) for g, n in sizes.items() for v in (g, min(1 << 30, int((1 << 30) * 2.0 * PER_LANGUAGE / n)))])
-    picked = good.where(h <= bound[F.col(lang_col)]).select(F.col(lang_col).alias("g"), h.alias("h"), F.col(text_col).alias("t")).where("t is not null").collect()
+    few = good.where(h <= bound[F.col(lang_col)]).select(F.col(lang_col).alias("g"), h.alias("h"), F.col(text_col).alias("t")).where("t is not null")
+    start = F.pmod(F.col("h"), F.greatest(F.length("t") - PIECE, F.lit(0)) + 1) + 1
+    # a row a hash, so an id that many rows repeat counts once
+    picked = few.select("g", "h", F.substring("t", start.cast("int"), PIECE).alias("t")).groupBy("g", "h").agg(F.min("t").alias("t")).collect()
     by: dict[str, list] = defaultdict(list)
     for r in sorted(picked, key=lambda r: (r["g"], r["h"], r["t"])):
         if len(by[r["g"]]) < PER_LANGUAGE:
@@ -228,7 +247,7 @@ def identify(docs: DataFrame, model: Chain, keep: list[str], text_col: str = "te
             while lo < len(texts):
                 hi, words, counts = lo, [], []
                 while hi < len(texts) and len(words) < BATCH_WORDS:
-                    ws = WORDS.findall((texts[hi].as_py() or "").lower())
+                    ws = words_of((texts[hi].as_py() or "").lower())
                     words += ws
                     counts.append(len(ws) if m.labels else 0)
                     hi += 1

@@ -281,6 +281,35 @@ def test_language(docs, empty):
     assert language_id(empty).count() == 0
 
 
+def test_language_needs_letters(spark):
+    from quaymark.llm.language import fit, identify, words_of
+
+    assert words_of("½² ¾ Ⅷ 12 _ a½b") == ["a", "b"]
+    rows = spark.createDataFrame([(0, "½² ¾"), (1, "Ⅷ ②"), (2, "½ of")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in identify(rows, fit([(EN, "en"), (DE, "de")]), ["doc_id"]).collect()}
+    assert got == {0: ("und", False), 1: ("und", False), 2: ("en", True)}
+
+
+def test_expectations_are_the_gradient_of_the_likelihood():
+    from itertools import product
+
+    from quaymark.llm.language import expectations
+
+    rng = np.random.default_rng(2)
+    em, t = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3))
+    total, post, pairs = 0.0, np.zeros_like(em), np.zeros_like(t)
+    for s in range(2):
+        paths = [(p, np.exp(sum(em[s, i, y] for i, y in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:])))) for p in product(range(3), repeat=4)]
+        total = sum(w for _, w in paths)
+        for p, w in paths:
+            for i, y in enumerate(p):
+                post[s, i, y] += w / total
+            for a, b in zip(p, p[1:]):
+                pairs[a, b] += w / total
+    got = expectations(em, t)
+    assert np.allclose(got[0], post) and np.allclose(got[1], pairs)
+
+
 def test_forward_backward():
     import numpy as np
 
