@@ -19,7 +19,7 @@ from quaymark.llm.warc import derivatives, read_warc, responses, write_warc
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,45 +1,51 @@
 """Repeated passages by a distributed, common-prefix-aware merge sort of suffixes.
 
-A string of LENGTH bytes that starts in two places is found through the anchors it holds. A position is an anchor if the
-eight bytes there hash below a bound; it is one as well if no anchor starts within GAP bytes from it. Both rules look
-only at what follows the position, so equal strings hold their first anchor at the same offset, which is below GAP. It is
-therefore enough to sort the suffixes that start at anchors, and to compare what stands before them:
+A string of LENGTH bytes that starts in two places is cut out of both. A passage that is shorter, but of more than WORDS
+whole words and at least LEAST bytes, and occurs again, is reported. Either is found through the anchors it holds. A
+position is an anchor if the eight bytes there hash below a bound; it is one as well if no anchor starts within a gap of
+bytes from it. Both rules look only at what follows the position, so equal strings hold their first anchor at the same
+offset, which is below the gap. It is therefore enough to sort the suffixes that start at anchors, and to compare what
+stands before them:
 
 1. Texts that are equal as a whole count once; a text with an equal one is covered where it is LENGTH bytes or longer.
-2. Anchors whose next LENGTH - GAP bytes occur nowhere else are left out. They are counted by hash, whose accidents only
+2. Anchors whose next LEAST - gap bytes occur nowhere else are left out. They are counted by hash, whose accidents only
    leave too many in.
 3. The other suffixes, LENGTH bytes of each, are sorted in runs where their texts are. Within a run, suffixes with equal
    contexts (bytes before back to the preceding anchor, and after) settle each other there, and one of them goes on, so a
    passage that very many texts share costs one suffix a run. A run is front-coded, each suffix as the length of the
-   prefix it shares with its predecessor and the rest, and dealt by the hash of its first LENGTH - GAP bytes.
+   prefix it shares with its predecessor and the rest, and dealt by the hash of its first LEAST - gap bytes.
 4. A task merges its runs with a loser tree that keeps, for every waiting suffix, the length of the prefix it shares
    with the last winner, so that known prefixes are never compared again. It yields the suffixes in order with the
-   lengths of their common prefixes, of which those of LENGTH - GAP and more form a group.
+   lengths of their common prefixes, of which those of LEAST - gap and more form a group.
 5. In a group, pairs are joined from the longest common prefix down, the smaller side into the larger, and each suffix
    meets the neighbours of its reversed left context. For each suffix that gives every pair (left, right) of lengths
-   that some other suffix matches and no other exceeds in both; where left + right reaches LENGTH, the bytes are covered.
+   that some other suffix matches and no other exceeds in both; where left + right reaches LENGTH, the bytes are covered,
+   and where it reaches LEAST, the words in it are counted.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import partitions, shared_dir, table
+from quaymark.llm.common import WORD, partitions, shared_dir, table
 
 LENGTH = 400
-GAP = 240
+#: Words that a passage exceeds, and the bytes it has at least.
+WORDS, LEAST = 50, 240
 #: One position in so many is an anchor.
-DENSITY = 40
-#: Bytes of text whose suffixes make one run, and groups of runs for each shuffle partition.
-RUN_BYTES = 8_000_000
-SPREAD = 2
+DENSITY = 28
+#: Bytes of text whose suffixes make one run; groups of runs for each shuffle partition, and bytes of text for one at most.
+RUN_BYTES = 4_000_000
+SPREAD, PART_BYTES = 2, 32_000_000
 
+_WORD = re.compile(WORD.encode())
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,8 +60,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(text: bytes, length: int = LENGTH, gap: int = GAP, density: int = DENSITY) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors, and for how many starts back each is the first anchor (at least 1)."""
+def gap_of(length: int) -> int:
+    return length * 3 // 5
+
+
+def anchors(text: bytes, length: int, gap: int, density: int = DENSITY) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the anchors of strings of length bytes, and for how many starts back each is the first anchor (at least 1)."""
     n = len(text)
     if n < length:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -71,7 +81,7 @@ def anchors(text: bytes, length: int = LENGTH, gap: int = GAP, density: int = DE
     return pos[order], back[order]
 
 
-def context_hashes(text: bytes, pos: np.ndarray, size: int = LENGTH - GAP) -> np.ndarray:
+def context_hashes(text: bytes, pos: np.ndarray, size: int) -> np.ndarray:
     """Hash of the size bytes after each position; size is a multiple of 8."""
     w = _words(text)
     h = np.full(len(pos), np.uint64(size))
@@ -174,14 +184,16 @@ def decode_run(data: bytes):
         at += m
 
 
-def group_matches(lcps: list[int], lefts: list[bytes], backs: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """For each suffix of a sorted group, ranges (from, to) of offsets d: the string that starts d before it occurs again.
+def group_matches(lcps: list[int], lefts: list[bytes], backs: list[int], length: int, least: int):
+    """For each suffix of a sorted group, ranges (from, to) of offsets d: the string of length bytes that starts d before it
+    occurs again; and matches (left, right) that are shorter, but least bytes or more.
 
     lcps[i] is the common prefix of suffixes i-1 and i, lefts the reversed left contexts. A suffix is the first anchor of
     the starts up to back - 1 before it.
     """
     n = len(lefts)
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    short: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     order = sorted(range(n), key=lefts.__getitem__)
     rank = [0] * n
     for r, i in enumerate(order):
@@ -196,6 +208,8 @@ def group_matches(lcps: list[int], lefts: list[bytes], backs: list[int], length:
                 best[x] = left
                 if length - right <= to:
                     out[x].append((max(0, length - right), to))
+                elif to + right >= least:
+                    short[x].append((to, right))
 
     parent, members = list(range(n)), [[rank[i]] for i in range(n)]
 
@@ -219,14 +233,15 @@ def group_matches(lcps: list[int], lefts: list[bytes], backs: list[int], length:
             big.insert(at, r)
         parent[b] = a
         members[b] = []
-    return out
+    return out, short
 
 
-def _runs(texts, pids: int, length: int, gap: int):
+def _runs(texts, pids: int, length: int, least: int):
     """From (cls, text, positions) of some texts: (pid, run) blobs, and (cls, from, to) spans that are settled in the run."""
+    gap = gap_of(least)
     items: dict[bytes, list] = {}
     for cls, text, keep in texts:
-        pos, back = anchors(text, length, gap)
+        pos, back = anchors(text, least, gap)
         take = np.isin(pos, keep)
         for p, b in zip(pos[take].tolist(), back[take].tolist()):
             lo = max(0, p - b + 1)
@@ -237,36 +252,53 @@ def _runs(texts, pids: int, length: int, gap: int):
         if len(places) > 1:
             # all these starts see the same bytes before and after, so each occurs again
             near, far = max(0, length - len(suffix)), len(left)
-            settled += [(cls, p - far, p - near + length) for cls, p, _ in places if far >= near]
+            if far >= near:
+                settled += [(cls, p - far, p - near + length) for cls, p, _ in places]
+            elif far + len(suffix) >= least:
+                settled += [(cls, p - far, p + len(suffix)) for cls, p, _ in places]
             one = [(-1, 0, places[0][2])]
         else:
             one = places
-        pid = int.from_bytes(hashlib.blake2b(suffix[: length - gap], digest_size=8).digest(), "little") % pids
+        pid = int.from_bytes(hashlib.blake2b(suffix[: least - gap], digest_size=8).digest(), "little") % pids
         runs.setdefault(pid, []).extend((suffix, (cls, p, b, left)) for cls, p, b in one)
     return {pid: encode_run(sorted(r, key=lambda x: x[0])) for pid, r in runs.items()}, settled
 
 
-def merge_group(blobs: list[bytes], length: int = LENGTH, gap: int = GAP):
-    """(cls, from, to) spans from all runs of a part, in the order in which the merge completes groups."""
+def merge_group(blobs: list[bytes], length: int = LENGTH, least: int = LEAST):
+    """(cls, from, to) spans from all runs of a part, in the order in which the merge completes groups. Spans of less than
+    length bytes are short matches."""
+    known = least - gap_of(least)
 
     def finish(group):
         if len(group) < 2:
             return
-        found = group_matches([g[0] for g in group], [g[2][3] for g in group], [g[2][2] for g in group], length)
-        for (_, _, (cls, pos, _, _)), ranges in zip(group, found):
+        found = group_matches([g[0] for g in group], [g[2][3] for g in group], [g[2][2] for g in group], length, least)
+        for (_, _, (cls, pos, _, _)), ranges, short in zip(group, *found):
             if cls >= 0:
                 for lo, hi in ranges:
                     yield cls, pos - hi, pos - lo + length
+                for left, right in short:
+                    yield cls, pos - left, pos + right
 
     group: list = []
     for lcp, suffix, payload in LoserTree([decode_run(b) for b in blobs]):
-        if lcp < length - gap:
+        if lcp < known:
             yield from finish(group)
             group = []
         group.append((lcp, suffix, payload))
     yield from finish(group)
 
 
+def words_within(data: bytes, lo: int, hi: int) -> int:
+    """Whole words of data[lo:hi]; one that goes on beyond an end is none."""
+    found = [m.span() for m in _WORD.finditer(data, lo, hi)]
+    if found and found[0][0] == lo and lo and _WORD.match(data, lo - 1):
+        del found[0]
+    if found and found[-1][1] == hi and _WORD.match(data, hi):
+        del found[-1]
+    return len(found)
+
+
 def union_spans(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for lo, hi in sorted(spans):
@@ -277,23 +309,33 @@ def union_spans(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """A row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of from, to).
+def apart(spans, length: int) -> list[tuple[int, int]]:
+    """Spans of length bytes and more as their unions, and the distinct shorter ones that none of these holds."""
+    long = union_spans(s for s in spans if s[1] - s[0] >= length)
+    starts = [a for a, _ in long]
+    short = {s for s in spans if s[1] - s[0] < length}
+    return long + sorted(s for s in short if not (k := bisect_right(starts, s[0])) or long[k - 1][1] < s[1])
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """A row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of from, to), repeated.
 
     Texts are UTF-8 bytes; null is empty, and a text shorter than length loses nothing. Matches stay within a text; equal
-    strings within one text count, overlapping ones too. Rows that repeat an id or a text count one by one.
+    strings within one text count, overlapping ones too. Rows that repeat an id or a text count one by one. repeated says
+    that something was removed, or that the text has a passage of more than words words and at least least bytes that
+    occurs again; shorter passages than that are not looked for.
     """
-    gap = length * 3 // 5
+    gap = gap_of(least)
     spark, at = docs.sparkSession, shared_dir(docs.sparkSession)
     t = F.coalesce(F.col(text_col), F.lit(""))
     # rows are known by hashes of id and text, texts by a hash of their own, so rows that are read again are found again
     text_key = F.xxhash64("text").alias("w")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), t).alias("k1"), F.xxhash64(t, F.col(id_col), F.lit(1)).alias("k2"), t.alias("text"))
     seen = rows.select("k1", "k2", text_key, F.sha2("text", 256).alias("whole"), F.octet_length("text").cast("long").alias("n_bytes"))
-    seen = table(seen.where(F.col("n_bytes") >= length), at, "seen")
+    seen = table(seen.where(F.col("n_bytes") >= least), at, "seen")
     first = seen.groupBy("whole").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "w")).alias("k")).select(F.monotonically_increasing_id().alias("cls"), "copies", "whole", "k.*")
     classes = table(first, at, "classes")
-    pids = SPREAD * partitions(spark)
+    pids = max(SPREAD * partitions(spark), (seen.agg(F.sum("n_bytes")).head()[0] or 0) // PART_BYTES)
 
     # 2. anchors that occur again; equal texts give equal marks, which count once
     def marks(batches):
@@ -307,10 +349,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     continue
                 done.add(cls)
                 data = text.as_py().encode("utf-8", "replace")
-                pos, _ = anchors(data, length, gap)
+                pos, _ = anchors(data, least, gap)
                 if not len(pos):
                     continue
-                h = context_hashes(data, pos, (length - gap) // 8 * 8)
+                h = context_hashes(data, pos, (least - gap) // 8 * 8)
                 part = (h % np.uint64(pids)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cuts = np.flatnonzero(np.diff(part[order])) + 1
@@ -357,12 +399,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
 
         def flush(texts):
-            runs, settled = _runs(texts, pids, length, gap)
+            runs, settled = _runs(texts, pids, length, least)
             spans: dict[int, list] = {}
             for cls, lo, hi in settled:
                 spans.setdefault(cls, []).append((lo, hi))
             rows = [(pid, blob, None, None) for pid, blob in runs.items()]
-            rows += [(cls % pids, None, cls, [x for s in union_spans(v) for x in s]) for cls, v in spans.items()]
+            rows += [(cls % pids, None, cls, [x for s in apart(v, length) for x in s]) for cls, v in spans.items()]
             for i in range(0, len(rows), 64):
                 part = rows[i : i + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64())))], ["pid", "run", "cls", "spans"])
@@ -394,12 +436,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 else:
                     spans.setdefault(cls, []).extend(zip(done[::2], done[1::2]))
         for pid in list(blobs):
-            for cls, lo, hi in merge_group(blobs.pop(pid), length, gap):
+            for cls, lo, hi in merge_group(blobs.pop(pid), length, least):
                 spans.setdefault(cls, []).append((lo, hi))
         items = list(spans.items())
         for i in range(0, len(items), 4096):
             part = items[i : i + 4096]
-            flat = [[x for s in union_spans(v) for x in s] for _, v in part]
+            flat = [[x for s in apart(v, length) for x in s] for _, v in part]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in part], pa.int64()), pa.array(flat, pa.list_(pa.int64()))], ["cls", "spans"])
 
     found = runs.repartition(pids, "pid").mapInArrow(merge, "cls long, spans array<long>")
@@ -412,30 +454,31 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
 
         for batch in batches:
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for text, flat in zip(batch.column(2), batch.column(3).to_pylist()):
                 data = text.as_py().encode("utf-8", "replace")
-                spans = union_spans(zip(flat[::2], flat[1::2]))
+                every = apart(list(zip(flat[::2], flat[1::2])), length)
+                spans = [s for s in every if s[1] - s[0] >= length]
+                found = bool(spans) or any(words_within(data, lo, hi) > words for lo, hi in every)
                 kept, last = hashlib.sha256(), 0
                 for lo, hi in spans:
                     kept.update(data[last:lo])
                     last = hi
                 kept.update(data[last:])
-                for column, v in zip(out, (sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [x for s in spans for x in s])):
+                for column, v in zip(out, (sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [x for s in spans for x in s], found)):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))))], ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    cut = table(single.mapInArrow(remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"), at, "cut")
-    copied = seen.join(classes.where("copies > 1").select("whole"), "whole").select("k1", "k2").distinct()
-    empty = F.sha2(F.lit("").cast("binary"), 256)
-    changes = cut.unionByName(
-        seen.select("k1", "k2", "n_bytes").join(copied, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select(
-            "k1", "k2", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept_sha256"), F.array(F.lit(0).cast("long"), "n_bytes").alias("spans")
-        )
-    )
-    every = rows.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    zero = F.lit(0).cast("long")
-    return every.join(changes, ["k1", "k2"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
-        F.coalesce("kept_sha256", "whole").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<long>")).alias("spans"),
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.bool_())))], ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "spans", "repeated"])
+
+    cut = table(single.mapInArrow(remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, repeated boolean"), at, "cut")
+    copied = seen.join(classes.where("copies > 1").select("whole"), "whole").select("k1", "k2", "n_bytes").dropDuplicates(["k1", "k2"])
+    copied = copied.select("k1", "k2", F.lit(True).alias("copied"))
+    every = rows.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), F.when(F.octet_length("text") < length, F.regexp_count("text", F.lit(WORD))).alias("n_words"))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    gone = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length)
+    return every.join(cut.unionByName(copied, allowMissingColumns=True), ["k1", "k2"], "left").select(
+        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
+        F.when(gone, F.array(zero, "n_bytes")).otherwise(F.coalesce("spans", none)).alias("spans"),
+        F.when(F.col("copied"), (F.col("n_bytes") >= length) | (F.col("n_words") > words)).otherwise(F.coalesce("repeated", F.lit(False))).alias("repeated"),
     )
