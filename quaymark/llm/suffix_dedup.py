@@ -70,7 +70,7 @@ def anchors(text: bytes, length: int, gap: int, density: int = DENSITY) -> tuple
     if n < length:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     w = _words(text)[: n - 7]
-    hit = np.flatnonzero(_mixed(w * _MUL) < np.uint64((1 << 64) // density))
+    hit = np.flatnonzero(w * _MUL < np.uint64((1 << 64) // density))
     edges = np.concatenate([[-1], hit, [n + gap]])
     wide = np.flatnonzero(np.diff(edges) > gap)
     dense = [np.arange(edges[i] + 1, min(edges[i + 1] - gap, n - length) + 1) for i in wide]
@@ -237,30 +237,36 @@ def group_matches(lcps: list[int], lefts: list[bytes], backs: list[int], length:
 
 
 def _runs(texts, pids: int, length: int, least: int):
-    """From (cls, text, positions) of some texts: (pid, run) blobs, and (cls, from, to) spans that are settled in the run."""
+    """From (cls, text, positions) of some texts: (pid, run) blobs, and (cls, from, to) spans that are settled in the run.
+
+    pid is of the hash of the bytes that all suffixes of a group have in common.
+    """
     gap = gap_of(least)
     items: dict[bytes, list] = {}
     for cls, text, keep in texts:
         pos, back = anchors(text, least, gap)
         take = np.isin(pos, keep)
-        for p, b in zip(pos[take].tolist(), back[take].tolist()):
-            lo = max(0, p - b + 1)
-            key = (text[p : p + length], text[lo:p][::-1])
-            items.setdefault(key, []).append((cls, p, b))
+        pos, back = pos[take], back[take]
+        part = context_hashes(text, pos, (least - gap) // 8 * 8) % np.uint64(pids)
+        for p, b, pid in zip(pos.tolist(), back.tolist(), part.tolist()):
+            key = (text[p : p + length], text[max(0, p - b + 1) : p][::-1])
+            if (places := items.get(key)) is None:
+                items[key] = [(cls, p, b, pid)]
+            else:
+                places.append((cls, p, b, pid))
     settled, runs = [], {}
     for (suffix, left), places in items.items():
         if len(places) > 1:
             # all these starts see the same bytes before and after, so each occurs again
             near, far = max(0, length - len(suffix)), len(left)
             if far >= near:
-                settled += [(cls, p - far, p - near + length) for cls, p, _ in places]
+                settled += [(cls, p - far, p - near + length) for cls, p, _, _ in places]
             elif far + len(suffix) >= least:
-                settled += [(cls, p - far, p + len(suffix)) for cls, p, _ in places]
-            one = [(-1, 0, places[0][2])]
+                settled += [(cls, p - far, p + len(suffix)) for cls, p, _, _ in places]
+            cls, p = -1, 0
         else:
-            one = places
-        pid = int.from_bytes(hashlib.blake2b(suffix[: least - gap], digest_size=8).digest(), "little") % pids
-        runs.setdefault(pid, []).extend((suffix, (cls, p, b, left)) for cls, p, b in one)
+            cls, p = places[0][:2]
+        runs.setdefault(places[0][3], []).append((suffix, (cls, p, places[0][2], left)))
     return {pid: encode_run(sorted(r, key=lambda x: x[0])) for pid, r in runs.items()}, settled
 
 
@@ -342,28 +348,27 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
 
         for batch in batches:
-            parts: dict[int, list] = {}
             done: set[int] = set()
+            cs, hs, ps = [], [], []
             for cls, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if cls in done:
                     continue
                 done.add(cls)
                 data = text.as_py().encode("utf-8", "replace")
                 pos, _ = anchors(data, least, gap)
-                if not len(pos):
-                    continue
-                h = context_hashes(data, pos, (least - gap) // 8 * 8)
-                part = (h % np.uint64(pids)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order])) + 1
-                for idx in np.split(order, cuts):
-                    parts.setdefault(int(part[idx[0]]), []).append((cls, h[idx], pos[idx]))
-            if parts:
-                out = []
-                for pid, xs in parts.items():
-                    cls = np.concatenate([np.full(len(h), c, np.int64) for c, h, _ in xs])
-                    out.append((pid, np.concatenate([h for _, h, _ in xs]).tobytes(), cls.tobytes(), np.concatenate([p for _, _, p in xs]).astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int32() if i == 0 else pa.binary()) for i in range(4)], ["pid", "h", "cls", "pos"])
+                if len(pos):
+                    cs.append(cls)
+                    hs.append(context_hashes(data, pos, (least - gap) // 8 * 8))
+                    ps.append(pos)
+            if not cs:
+                continue
+            c, h, p = np.repeat(np.array(cs, np.int64), list(map(len, hs))), np.concatenate(hs), np.concatenate(ps).astype(np.uint32)
+            part = h % np.uint64(pids)
+            order = np.argsort(part, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
+            idx = [order[i:j] for i, j in zip(cuts, cuts[1:])]
+            cols = [pa.array([int(part[x[0]]) for x in idx], pa.int32()), *(pa.array([v[x].tobytes() for x in idx], pa.binary()) for v in (h, c, p))]
+            yield pa.RecordBatch.from_arrays(cols, ["pid", "h", "cls", "pos"])
 
     marked = rows.select(text_key, "text").mapInArrow(marks, "pid int, h binary, cls binary, pos binary").repartition(pids, "pid")
 
