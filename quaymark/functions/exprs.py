@@ -54,8 +54,11 @@ def lenient_double(df: DataFrame, name: str) -> Column:
 
 
 def exact_sum(c: Column) -> Column:
-    """Order-independent sum of doubles with at most eight decimals; 0 for no rows."""
-    return F.coalesce(F.sum(c.cast(EXACT)), F.lit(0)).cast("double")
+    """Order-independent sum of doubles with at most eight decimals; 0 for no rows. Where a value or the sum doesn't fit the
+    decimal, as NaN, infinity and 1e21 don't, the sum is one of doubles."""
+    exact = c.try_cast(EXACT)
+    total, odd = F.try_sum(exact), F.coalesce(F.bool_or(c.isNotNull() & exact.isNull()), F.lit(False))
+    return F.when(~odd & total.isNotNull(), total.cast("double")).otherwise(F.coalesce(F.sum(c.cast("double")), F.lit(0.0)))
 
 
 def effective_units(df: DataFrame, side: ColumnMapping, money: MoneyFlags) -> Column:
@@ -112,6 +115,11 @@ def override(name: str, kind: str) -> Column:
     return F.when(c.rlike(r"^[+-]?\d+$"), c.try_cast(OVERRIDE_TYPES[kind])).alias(name)
 
 
+def numeric_like(c: Column) -> Column:
+    """Digits once one point and one hyphen are taken out, wherever they stand; blank is not."""
+    return F.regexp_replace(F.regexp_replace(c, r"^([^.]*)\.", "$1"), "^([^-]*)-", "$1").rlike(r"^\p{Nd}+$")
+
+
 def scrub(c: Column) -> Column:
     """Without control characters other than tab, line feed and carriage return."""
     return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")

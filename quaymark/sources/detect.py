@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaymark.config import Layout, ParseConfig
-from quaymark.sources.files import expand_bytes
+from quaymark.functions.exprs import numeric_like
+from quaymark.sources.files import empty_files, expand_bytes
 from quaymark.sources.layout import layout_warnings
 from quaymark.sources.records import physical_lines, split_record, unique_names
 
@@ -59,7 +60,11 @@ def numeric_share(values: list[str]) -> float:
 
 
 def _fields(line: str, delimiter: str | None) -> list[str]:
-    return split_record(line, delimiter)[0] if delimiter else [line]
+    """Quote-aware; a line that csv rules can't read is split plainly."""
+    if not delimiter:
+        return [line]
+    fields, _, broken = split_record(line, delimiter)
+    return line.split(delimiter) if broken else fields
 
 
 def _count(line: str, delimiter: str) -> int:
@@ -224,7 +229,7 @@ def detect(content: bytes, layout: Layout | None = None) -> Detection:
 
 def detect_files(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
     """A row for each file below path: its format, structure, delimiter, encoding, header, preamble, columns, confidence and gates."""
-    schema = "file string, format string, structure string, delimiter string, encoding string, header boolean, preamble int, columns array<string>, confidence double, parseable boolean, needs_approval boolean, stats string, error string"
+    schema = "file string, format string, structure string, delimiter string, encoding string, header boolean, preamble int, columns array<string>, confidence double, parseable boolean, needs_approval boolean, stats string, error string, encoding_method string, types map<string,string>, warnings array<string>, automatic boolean"
 
     def run(batches):
         import pandas as pd
@@ -234,12 +239,16 @@ def detect_files(spark: SparkSession, path: str, layout: Layout | None = None) -
             for name, data in zip(pdf["path"], pdf["content"]):
                 try:
                     d = detect(expand_bytes(name, bytes(data)), layout)
-                    out.append((name, d.format, d.structure, d.delimiter, d.encoding, d.header, d.preamble, d.columns, d.confidence, d.parseable, d.needs_approval, json.dumps(d.stats), None))
+                    out.append((name, d.format, d.structure, d.delimiter, d.encoding, d.header, d.preamble, d.columns, d.confidence, d.parseable, d.needs_approval, json.dumps(d.stats), None, d.encoding_method, d.schema, d.warnings, d.auto_config() is not None))
                 except Exception as e:
-                    out.append((name, None, None, None, None, None, None, None, 0.0, False, True, None, str(e)))
+                    out.append((name, None, None, None, None, None, None, None, 0.0, False, True, None, str(e), None, None, None, False))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    # the reader leaves out files of no bytes
+    if none := empty_files(spark, path):
+        found = found.unionByName(spark.createDataFrame([(p, b"") for p in none], "path string, content binary"))
+    return found.mapInPandas(run, schema)
 
 
 # --- the same rules over a frame of (file, line_no, line) -----------------------------------------------------------
@@ -262,7 +271,7 @@ def header_flags(lines: DataFrame, delimiter: str) -> DataFrame:
     """file, header: whether the first line with content looks like names."""
     first = lines.where(F.trim("line") != "").groupBy("file").agg(F.min(F.struct("line_no", "line")).alias("f"))
     fields = F.transform(F.split(F.col("f.line"), re.escape(delimiter), -1), lambda x: F.trim(x))
-    numeric = F.size(F.filter(fields, lambda x: x.rlike(r"^-?\d*\.?\d+$|^-?\d+\.$")))
+    numeric = F.size(F.filter(fields, numeric_like))
     return first.select("file", (F.exists(fields, lambda x: x != "") & (numeric / F.size(fields) < 0.5)).alias("header"))
 
 

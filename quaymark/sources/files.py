@@ -28,11 +28,19 @@ def is_compressed(path) -> bool:
 
 
 def listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """path, name, size and modification time of the files directly in a folder; contents are not read."""
+    """path, name, size and modification time of the files directly in a folder, by name; contents are not read."""
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "modificationTime")
+    return reader.load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "modificationTime").orderBy("name")
+
+
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the files of no bytes that a path, folder or glob names; only their metadata is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for top in fs.globStatus(at) or [] for s in (fs.listStatus(top.getPath()) if top.isDirectory() else [top])]
+    return [s.getPath().toString() for s in found if s.isFile() and s.getLen() == 0 and not s.getPath().getName().startswith(("_", "."))]
 
 
 def digest(content: F.Column, algorithm: str) -> F.Column:
@@ -132,12 +140,15 @@ class LocalTransport:
 
 
 class SftpTransport:
-    """The same over SFTP; connects when first used. Needs the paramiko library, which is optional."""
+    """The same over SFTP; connects when first used. Needs the paramiko library, which is optional, or a function that opens
+    an SFTP session."""
 
-    def __init__(self, host: str, port: int = 22, user: str | None = None, password: str | None = None, key_file: str | None = None):
-        self._args, self._client, self._sftp = (host, port, user, password, key_file), None, None
+    def __init__(self, host: str, port: int = 22, user: str | None = None, password: str | None = None, key_file: str | None = None, connect=None):
+        self._args, self._client, self._sftp, self._opened_by = (host, port, user, password, key_file), None, None, connect
 
     def _connect(self):
+        if self._sftp is None and self._opened_by:
+            self._sftp = self._opened_by(*self._args)
         if self._sftp is None:
             try:
                 import paramiko
@@ -194,6 +205,16 @@ def download(transport: Transport, remote: str, target, expected_size: int | Non
     return target
 
 
+def leftovers(target) -> int:
+    """Removes what a download or an expansion to target left beside it."""
+    target, gone = Path(target), 0
+    for p in (target.with_name(target.name + ".part"), target.with_name(target.name + ".decompressed")):
+        if p.is_file():
+            p.unlink()
+            gone += 1
+    return gone
+
+
 def sweep_parts(root) -> int:
     """Removes leftovers of interrupted work: *.part and *.decompressed in raw/, *.part in datasets/ and one level below."""
     root, gone = Path(root), 0
@@ -232,5 +253,5 @@ def contents(spark: SparkSession, path: str, encoding: str = "utf-8", pattern: s
     if codec != "utf-8":
         done = raw.mapInPandas(decode, schema)
     else:
-        done = raw.where(plain).select("file", F.decode("content", "utf-8").alias("content")).unionByName(raw.where(~plain).mapInPandas(decode, schema))
+        done = raw.where(plain).select("file", F.make_valid_utf8(F.col("content").cast("string")).alias("content")).unionByName(raw.where(~plain).mapInPandas(decode, schema))
     return done.withColumn("content", F.regexp_replace("content", "^﻿", ""))

@@ -206,8 +206,34 @@ def issue_counts(records: DataFrame) -> DataFrame:
     return issues(records).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+KINDS = ("column_mismatch", "parse_error", "short_line", "quoted_delimiter", "escaped_delimiter")
+
+
+def totals(config: ParseConfig) -> list[F.Column]:
+    """Aggregates over records: those of counters(), and how many issues of each kind there are."""
+    parsed = F.count(F.lit(1)) if config.layout else F.count(F.when(~F.col("is_header"), 1))
+
+    def found(*kinds: str) -> F.Column:
+        return F.coalesce(F.sum(F.size(F.filter("issues", lambda i: i["issue"].isin(*kinds)))), F.lit(0)).cast("bigint")
+
+    return [F.count(F.lit(1)).alias("total_records"), parsed.alias("parsed_records"), found(*BLOCKING).alias("bad_rows"), *(found(k).alias(k) for k in KINDS)]
+
+
+def report_lines(records: DataFrame, config: ParseConfig) -> DataFrame:
+    """The parse report as JSON lines (value): one with the counts of each file, and one for each issue."""
+    head = records.groupBy("file").agg(*totals(config)).select(F.to_json(F.struct(F.lit("file").alias("kind"), "*")).alias("value"))
+    each = issues(records).select(F.to_json(F.struct(F.lit("issue").alias("kind"), "*")).alias("value"))
+    return head.unionByName(each)
+
+
+def read_report(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, issues) of report_lines(), with the types they had; a malformed line is left out."""
+    kind = F.get_json_object("value", "$.kind")
+    counts = "file string, total_records bigint, parsed_records bigint, bad_rows bigint, " + ", ".join(f"{k} bigint" for k in KINDS)
+    found = "file string, ord int, line_number int, issue string, expected_columns string, found_columns string, raw_data string"
+    return tuple(lines.where(kind == k).select(F.from_json("value", s).alias("r")).select("r.*") for k, s in (("file", counts), ("issue", found)))
+
+
 def counters(records: DataFrame, config: ParseConfig) -> DataFrame:
     """One row: total_records (with header), parsed_records, bad_rows. A fixed-width header counts as parsed."""
-    parsed = F.count(F.lit(1)) if config.layout else F.count(F.when(~F.col("is_header"), 1))
-    bad = F.coalesce(F.sum(F.size(F.filter("issues", lambda i: i["issue"].isin(*BLOCKING)))), F.lit(0))
-    return records.agg(F.count(F.lit(1)).alias("total_records"), parsed.alias("parsed_records"), bad.cast("bigint").alias("bad_rows"))
+    return records.agg(*totals(config)[:3])

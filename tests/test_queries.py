@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from quaymark.plans import file_queries  # noqa: F401 - registers its queries
 from quaymark.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for name in ("lineitem", "part", "events"):
+    for name in ("lineitem", "part", "events", "region", "nation", "customer"):
         con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return con
 
