@@ -27,8 +27,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, A-Z lower-cased, and the number of words before each text (one more)."""
+def word_hashes(texts: list[bytes], endings: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes of the words of all texts in order, A-Z lower-cased, and the number of words before each text (one more); with
+    endings, also a number for the last two bytes of each word."""
     buf = b"\n".join(texts).lower() + b"\n"
     a = np.frombuffer(buf, np.uint8)
     space = _IS_SPACE[a]
@@ -39,7 +40,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=total[1:])
     h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return h, np.searchsorted(starts, begin)
+    if not endings:
+        return h, np.searchsorted(starts, begin)
+    last = a[ends - 1].astype(np.uint64) * np.uint64(256) + np.where(ends - starts > 1, a[ends - 2], 0).astype(np.uint64)
+    return h, np.searchsorted(starts, begin), last
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:

@@ -285,6 +285,78 @@ def test_maxent(docs, empty):
         want = sum(log10((c[w] + 1) / (sum(c.values()) + len(c) + 1)) for w in ws)
         assert abs(r["base_score"] - want) <= 1e-9 * abs(want) and r["score"] < 0
     assert score(empty).count() == 0
+    # many blocks, a row or a few each, ask and are answered as one is
+    apart = {r["doc_id"]: r["score"] for r in score(docs, block_bytes=1000).collect()}
+    assert all(abs(apart[i] - r["score"]) <= 2e-3 * abs(r["score"]) for i, r in got.items())
+
+
+def test_maxent_learns_words_in_their_contexts(spark):
+    rng = random.Random(6)
+    pairs = [(f"a{i}xq", f"b{i}zj{'klmn'[i % 4]}{'opqr'[i // 4]}") for i in range(16)]
+    docs = spark.createDataFrame([(i, " ".join(w for _ in range(60) for w in rng.choice(pairs))) for i in range(60)], "doc_id long, text string")
+    got = score(docs).collect()
+    held = [r for r in got if r["held_out"]]
+    # of the two words the second follows from the first, which the base doesn't see
+    assert held and sum(r["score"] for r in held) > 0.75 * sum(r["base_score"] for r in held)
+
+
+def _toy_model():
+    from quaymark.llm import maxent as me
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{rng.integers(40)}{'abcde'[rng.integers(5)]}" for _ in range(rng.integers(0, 80))).encode() for _ in range(20)]
+    h, begin, cls = me.tokens(texts)
+    vocab, at, idx = np.unique(h, return_index=True, return_inverse=True)
+    block = me.Block(begin, idx.astype(np.int32), vocab, cls[at], np.arange(20) % 5 == 0)
+    t = block.train
+    counts = np.bincount(idx[t], minlength=len(vocab))
+    bucket = cls[at].astype(int) * me.MEMBERS + me.member_of(vocab)
+    seen = np.bincount(block.row[t] * me.CLASSES + block.cls[t], minlength=(me.CLASSES + 1) ** 2 * me.CLASSES)
+    inner = np.bincount(block.inner[t] * me.MEMBERS + block.member[t], minlength=me.CLASSES * (me.CLASSES + 1) * me.MEMBERS)
+    model = me.Model(seen.astype(float), inner.astype(float), np.bincount(bucket, counts, me.CLASSES * me.MEMBERS), np.bincount(bucket[counts > 0], minlength=me.CLASSES * me.MEMBERS))
+    pos = np.flatnonzero(counts >= 4).astype(np.int32)
+    one, two = (rng.normal(size=(len(pos) + 1, me.CLASSES)).astype(np.float32) for _ in range(2))
+    one[0] = two[0] = 0
+    return block, model, counts, bucket, pos, one, two
+
+
+def test_maxent_probabilities_sum_to_one():
+    from quaymark.llm import maxent as me
+
+    block, model, counts, bucket, pos, one, two = _toy_model()
+    first, second = block.words_before(pos)
+    for t in (0, 1, 17, 100):
+        p = me.class_probabilities(model.light(), one, two, block.row[t : t + 1], first[t : t + 1], second[t : t + 1])[0].astype(float)
+        before = block.inner[t] - block.cls[t] * (me.CLASSES + 1)
+        of_bucket = (p[:, None] * 10 ** model.inner.reshape(me.CLASSES, -1, me.MEMBERS)[:, before]).ravel()
+        words = np.bincount(bucket, (counts + 1.0) * (counts > 0), len(of_bucket)) + 1  # the last is any unknown word
+        assert abs((of_bucket * words / 10**model.bucket).sum() - 1) < 1e-5
+        assert abs(model.log10(block, counts, pos, one, two)[t] - np.log10(of_bucket[block.cls[t] * me.MEMBERS + block.member[t]] * (counts[block.idx[t]] + 1) / 10 ** model.bucket[block.cls[t] * me.MEMBERS + block.member[t]])) < 1e-4
+
+
+def test_maxent_gradient():
+    from quaymark.llm import maxent as me
+
+    block, model, _, _, pos, one, two = _toy_model()
+    first, second = block.words_before(pos)
+    got = me.expected_counts(block, model.light(), one, two, first, second)
+    want, seen = [np.zeros_like(x, float) for x in got], [np.zeros_like(x, float) for x in got[1:]]
+    for t in np.flatnonzero(block.train):
+        x = model.rows[block.row[t]] + one[first[t]] + two[second[t]]
+        p = np.exp(x) / np.exp(x).sum()
+        want[0][block.row[t]] += p
+        for k, place in ((1, first[t]), (2, second[t])):
+            if place:
+                want[k][place] += p
+                seen[k - 1][place, block.cls[t]] += 1
+    assert all(np.allclose(a[k > 0 :], b[k > 0 :], atol=1e-3) for k, (a, b) in enumerate(zip(got, want)))
+    assert all(np.allclose(a[1:], b[1:]) for a, b in zip(me.observed_counts(block, len(pos), first, second), seen))
+    # observed minus expected is the slope of the log likelihood
+    total = lambda w: sum(np.log(me.class_probabilities(model.rows[:], w, two.astype(float), block.row, first, second)[t, block.cls[t]]) for t in np.flatnonzero(block.train))
+    up, down = one.astype(float), one.astype(float)
+    up[1, 3] += 1e-4
+    down[1, 3] -= 1e-4
+    assert abs((total(up) - total(down)) / 2e-4 - (seen[0][1, 3] - want[1][1, 3])) < 1e-3
 
 
 def test_language(docs, empty):
