@@ -307,7 +307,7 @@ def _toy_model():
     texts = [" ".join(f"w{rng.integers(40)}{'abcde'[rng.integers(5)]}" for _ in range(rng.integers(0, 80))).encode() for _ in range(20)]
     h, begin, cls = me.tokens(texts)
     vocab, at, idx = np.unique(h, return_index=True, return_inverse=True)
-    block = me.Block(begin, idx.astype(np.int32), vocab, cls[at], np.arange(20) % 5 == 0)
+    block = me.Block(begin, idx.astype(np.int32), vocab, cls[at], np.where(np.arange(20) % 5 == 0, me.HELD, np.arange(20) % 3).astype(np.uint8))
     t = block.train
     counts = np.bincount(idx[t], minlength=len(vocab))
     bucket = cls[at].astype(int) * me.MEMBERS + me.member_of(vocab)
@@ -315,48 +315,54 @@ def _toy_model():
     inner = np.bincount(block.inner[t] * me.MEMBERS + block.member[t], minlength=me.CLASSES * (me.CLASSES + 1) * me.MEMBERS)
     model = me.Model(seen.astype(float), inner.astype(float), np.bincount(bucket, counts, me.CLASSES * me.MEMBERS), np.bincount(bucket[counts > 0], minlength=me.CLASSES * me.MEMBERS))
     pos = np.flatnonzero(counts >= 4).astype(np.int32)
-    one, two = (rng.normal(size=(len(pos) + 1, me.CLASSES)).astype(np.float32) for _ in range(2))
-    one[0] = two[0] = 0
-    return block, model, counts, bucket, pos, one, two
+    one = rng.normal(size=(len(pos) + 1, me.CLASSES)).astype(np.float32)
+    one[0] = 0
+    model.skip = rng.normal(size=model.skip.shape)
+    return block, model, counts, bucket, pos, one
 
 
 def test_maxent_probabilities_sum_to_one():
     from quaymark.llm import maxent as me
 
-    block, model, counts, bucket, pos, one, two = _toy_model()
-    first, second = block.words_before(pos)
+    block, model, counts, bucket, pos, one = _toy_model()
+    first = block.words_before(pos)
     for t in (0, 1, 17, 100):
-        p = me.class_probabilities(model.light(), one, two, block.row[t : t + 1], first[t : t + 1], second[t : t + 1])[0].astype(float)
+        p = me.class_probabilities(model.light(), one, block.row[t : t + 1], first[t : t + 1])[0].astype(float)
         before = block.inner[t] - block.cls[t] * (me.CLASSES + 1)
         of_bucket = (p[:, None] * 10 ** model.inner.reshape(me.CLASSES, -1, me.MEMBERS)[:, before]).ravel()
         words = np.bincount(bucket, (counts + 1.0) * (counts > 0), len(of_bucket)) + 1  # the last is any unknown word
         assert abs((of_bucket * words / 10**model.bucket).sum() - 1) < 1e-5
-        assert abs(model.log10(block, counts, pos, one, two)[t] - np.log10(of_bucket[block.cls[t] * me.MEMBERS + block.member[t]] * (counts[block.idx[t]] + 1) / 10 ** model.bucket[block.cls[t] * me.MEMBERS + block.member[t]])) < 1e-4
+        at = block.cls[t] * me.MEMBERS + block.member[t]
+        assert abs(model.log10(block, counts, pos, one)[t] - np.log10(of_bucket[at] * (counts[block.idx[t]] + 1) / 10 ** model.bucket[at])) < 1e-4
 
 
 def test_maxent_gradient():
     from quaymark.llm import maxent as me
 
-    block, model, _, _, pos, one, two = _toy_model()
-    first, second = block.words_before(pos)
-    got = me.expected_counts(block, model.light(), one, two, first, second)
-    want, seen = [np.zeros_like(x, float) for x in got], [np.zeros_like(x, float) for x in got[1:]]
+    block, model, _, _, pos, one = _toy_model()
+    first, light = block.words_before(pos), model.light().astype(float)
+    parts = [block.turn == r for r in range(3)]
+    assert (sum(parts) == block.train).all()
+    by_row, by_word = (sum(x) for x in zip(*(me.expected_counts(block, model.light(), one, first, use) for use in parts)))
+    want_row, want_word, seen = np.zeros(by_row.shape), np.zeros(by_word.shape), np.zeros(by_word.shape)
     for t in np.flatnonzero(block.train):
-        x = model.rows[block.row[t]] + one[first[t]] + two[second[t]]
+        x = light[block.row[t]] + one[first[t]]
         p = np.exp(x) / np.exp(x).sum()
-        want[0][block.row[t]] += p
-        for k, place in ((1, first[t]), (2, second[t])):
-            if place:
-                want[k][place] += p
-                seen[k - 1][place, block.cls[t]] += 1
-    assert all(np.allclose(a[k > 0 :], b[k > 0 :], atol=1e-3) for k, (a, b) in enumerate(zip(got, want)))
-    assert all(np.allclose(a[1:], b[1:]) for a, b in zip(me.observed_counts(block, len(pos), first, second), seen))
+        want_row[block.row[t]] += p
+        want_word[first[t]] += p
+        seen[first[t], block.cls[t]] += 1
+    assert np.allclose(by_row, want_row, atol=1e-3) and np.allclose(by_word[1:], want_word[1:], atol=1e-3)
+    assert np.array_equal(me.observed_counts(block, first, len(pos) + 1, block.train), seen)
     # observed minus expected is the slope of the log likelihood
-    total = lambda w: sum(np.log(me.class_probabilities(model.rows[:], w, two.astype(float), block.row, first, second)[t, block.cls[t]]) for t in np.flatnonzero(block.train))
+    train = np.flatnonzero(block.train)
+    total = lambda w: np.log(me.class_probabilities(light, w, block.row, first)[train, block.cls[train]]).sum()
     up, down = one.astype(float), one.astype(float)
     up[1, 3] += 1e-4
     down[1, 3] -= 1e-4
-    assert abs((total(up) - total(down)) / 2e-4 - (seen[0][1, 3] - want[1][1, 3])) < 1e-3
+    assert abs((total(up) - total(down)) / 2e-4 - (seen[1, 3] - want_word[1, 3])) < 1e-3
+    # counts and shares come through an exchange as they were
+    assert np.array_equal(me._large(me._small(seen.astype(int) * 300)), seen * 300)
+    assert np.allclose(me._whole(*me._halved(want_word * 1e6)), want_word * 1e6, rtol=2e-3, atol=1)
 
 
 def test_language(docs, empty):
