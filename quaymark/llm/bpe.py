@@ -1,13 +1,17 @@
-"""Byte-level BPE by merge replay over the distinct words that a batch of texts brings into a task.
+"""Byte-level BPE by merge replay over the distinct words of the corpus.
 
-The words that a batch of texts brings in for the first time are laid out one after the other as tokens with links to
-their neighbours. An inverted index from each adjacent pair, named by the rank it merges to, to its positions is the
-work list: ranks are taken in ascending order, every listed position that still holds the pair is merged, and only the
-pairs beside it are looked up again. A rank lower than the current one is taken at once, and positions of one rank from
-left to right, so each word goes through the same merges as if it were encoded alone.
+Texts are cut at white space first; a piece keeps its leading space. The pattern never matches across such a cut, so equal
+pieces have equal ids, and three steps encode a corpus:
 
-Texts are cut at white space first; a piece keeps its leading space. The pattern never matches across such a cut, so
-pieces can be remembered with their ids, and a task encodes a word again only if it is long or its memory was emptied.
+1. Every split of the corpus sends its distinct pieces to the parts their hashes belong to.
+2. A part takes each piece once, whatever splits sent it, and replays the merges over the words of its pieces together. They
+   are laid out one after the other as tokens with links to their neighbours. An inverted index from each adjacent pair,
+   named by the rank it merges to, to its positions is the work list: ranks are taken in ascending order, every listed
+   position that still holds the pair is merged, and only the pairs beside it are looked up again. A rank lower than the
+   current one is taken at once, and positions of one rank from left to right, so each word goes through the same merges
+   as if it were encoded alone. The part answers every split.
+3. A split reads the answers, written in a file of its own, and puts its texts' ids together. Texts aren't shuffled. Pieces
+   that have no answer, as long ones don't, are replayed where they are met, so ids never depend on how the corpus is split.
 """
 
 from __future__ import annotations
@@ -22,8 +26,12 @@ from functools import lru_cache
 #: White space as the tokenizer libraries understand it.
 _W = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PIECES = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
-#: Longer pieces aren't remembered, and the memory is emptied when it holds this many.
+#: Longer pieces aren't remembered or sent, and the memory is emptied when it holds this many more than it was given.
 LONGEST, MOST = 64, 1_000_000
+#: Pieces that are replayed together.
+TOGETHER = 200_000
+#: Parts for each task that answers, so that hashing deals them evenly.
+SPREAD = 16
 
 
 @lru_cache(maxsize=2)
@@ -44,17 +52,29 @@ class MergeReplay:
         self.pairs: dict[int, int] = {}  # (left << 32 | right): rank of the two together, or -1
 
     def _rank(self, left: int, right: int) -> int:
-        key = left << 32 | right
-        r = self.pairs.get(key)
-        if r is None:
-            r = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-            if len(self.pairs) > 4 * MOST:
-                self.pairs.clear()
-            self.pairs[key] = r
+        """What the pair merges to, or -1; remembered in pairs."""
+        r = self.pairs[left << 32 | right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return r
 
+    def _listed(self, token) -> dict[int, list[int]]:
+        """The inverted index of all adjacent pairs that merge: rank to positions, ascending."""
+        import numpy as np
+
+        t = np.array(token, np.int64)
+        at = np.flatnonzero((t[:-1] >= 0) & (t[1:] >= 0))
+        keys, which = np.unique(t[at] << 32 | t[at + 1], return_inverse=True)
+        known = self.pairs
+        ranks = np.array([known[k] if k in known else self._rank(k >> 32, k & 0xFFFFFFFF) for k in keys.tolist()], np.int64)[which] if len(at) else at
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        ranks, at = ranks[order], at[order].tolist()
+        new = [*np.flatnonzero(np.diff(ranks, prepend=-1)).tolist(), len(at)]
+        return {int(ranks[i]): at[i:j] for i, j in zip(new, new[1:])}
+
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        ranks, rank_of = self.ranks, self._rank
+        if len(self.pairs) > 4 * MOST:
+            self.pairs.clear()
+        ranks, rank_of, get = self.ranks, self._rank, self.pairs.get
         out: list[list[int] | None] = [None] * len(words)
         token: list[int] = []
         starts = []
@@ -64,13 +84,11 @@ class MergeReplay:
                 out[i] = [r]
             else:
                 token += map(self.single.__getitem__, w)
-            token.append(-1)  # no pair reaches across
+                token.append(-1)  # no pair reaches across
+        token.append(-1)
         n = len(token)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if token[i] >= 0 and token[i + 1] >= 0 and (r := rank_of(token[i], token[i + 1])) >= 0:
-                index.setdefault(r, []).append(i)
+        index = self._listed(token)
         todo = list(index)
         heapq.heapify(todo)
         while todo:
@@ -80,19 +98,34 @@ class MergeReplay:
                 continue
             places.sort()
             for k, i in enumerate(places):
+                if (a := token[i]) < 0:
+                    continue
                 j = after[i]
-                if token[i] < 0 or token[j] < 0 or rank_of(token[i], token[j]) != rank:
+                if (b := token[j]) < 0 or get(a << 32 | b) != rank:
                     continue  # touched since it was listed
                 token[i], token[j] = rank, -2
-                after[i] = after[j]
-                before[after[j]] = i
-                lower = False
-                for a, b in ((before[i], i), (i, after[i])):
-                    if a >= 0 and token[a] >= 0 and token[b] >= 0 and (r := rank_of(token[a], token[b])) >= 0:
-                        if r not in index:
-                            index[r] = []
+                end = after[i] = after[j]
+                before[end] = i
+                lower, start = False, before[i]
+                if start >= 0 and (a := token[start]) >= 0:
+                    if (r := get(a << 32 | rank)) is None:
+                        r = rank_of(a, rank)
+                    if r >= 0:
+                        if (at := index.get(r)) is None:
+                            index[r] = [start]
                             heapq.heappush(todo, r)
-                        index[r].append(a)
+                        else:
+                            at.append(start)
+                        lower = r <= rank
+                if (b := token[end]) >= 0:
+                    if (r := get(rank << 32 | b)) is None:
+                        r = rank_of(rank, b)
+                    if r >= 0:
+                        if (at := index.get(r)) is None:
+                            index[r] = [i]
+                            heapq.heappush(todo, r)
+                        else:
+                            at.append(i)
                         lower |= r <= rank
                 if lower and k + 1 < len(places):
                     index.setdefault(rank, []).extend(places[k + 1 :])
@@ -109,57 +142,147 @@ class MergeReplay:
 
 
 class Encoder:
-    """Texts to ids, packed as little-endian unsigned 32-bit integers, and back."""
+    """Texts to ids, packed as little-endian unsigned 32-bit integers, and back. known has pieces whose ids are there already."""
 
-    def __init__(self, rank_file: str, pattern: str):
+    def __init__(self, rank_file: str, pattern: str, known: dict[str, bytes] | None = None):
         import regex
 
         self.replay = MergeReplay(load_ranks(rank_file))
         self.words_of = regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
+        self.given = known or {}
+        self.pieces = dict(self.given)
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
+    def learn(self, new: list[str]) -> dict[str, bytes]:
         split = [[w.encode("utf-8", "replace") for w in self.words_of(p)] for p in new]
         words = list(dict.fromkeys(w for ws in split for w in ws))
         packed = {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in zip(words, self.replay.encode(words))}
         return {p: b"".join([packed[w] for w in ws]) for p, ws in zip(new, split)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [PIECES.findall(t) for t in texts]
-        if len(self.pieces) > MOST:
-            self.pieces.clear()
-        known = self.pieces
-        new: dict[str, None] = {}
-        for ps in cut:
-            for p in set(ps):
-                if p not in known:
-                    new[p] = None
-        learnt = self._learn(list(new)) if new else {}
-        known.update((p, b) for p, b in learnt.items() if len(p) <= LONGEST)
-        long = {p: b for p, b in learnt.items() if len(p) > LONGEST}
-        if long:
-            return [b"".join([known.get(p) or long[p] for p in ps]) for ps in cut]
-        get = known.__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
+        if len(self.pieces) > len(self.given) + MOST:
+            self.pieces = dict(self.given)
+        get, out, left = self.pieces.__getitem__, [], []
+        for i, t in enumerate(texts):
+            ps = PIECES.findall(t)
+            try:
+                out.append(b"".join(map(get, ps)))
+            except KeyError:
+                out.append(b"")
+                left.append((i, ps))
+        if left:
+            learnt = self.learn(list(set().union(*(ps for _, ps in left)).difference(self.pieces)))
+            self.pieces.update((p, b) for p, b in learnt.items() if len(p) <= LONGEST)
+            for i, ps in left:
+                out[i] = b"".join([learnt[p] if p in learnt else get(p) for p in ps])
+        return out
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.replay.tokens.__getitem__, memoryview(packed).cast("I")))
 
 
+def _packed(pieces: list[str]) -> tuple[bytes, bytes]:
+    """(lengths, characters) of pieces."""
+    import numpy as np
+
+    return np.fromiter(map(len, pieces), np.uint32, len(pieces)).tobytes(), "".join(pieces).encode()
+
+
+def _unpacked(lengths: bytes, data):
+    """Stretches of data, which is text or bytes, of these lengths."""
+    ends = [0]
+    for n in memoryview(lengths).cast("I"):
+        ends.append(ends[-1] + n)
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def learn_pieces(docs, rank_file: str, pattern: str, at: str, text_col: str = "text") -> str:
+    """Writes the ids of the distinct pieces of every split of docs below the folder, and says where."""
+    from pyspark.sql import functions as F
+
+    from quaymark.llm.common import partitions
+
+    texts = docs.select(F.col(text_col).alias("text"))
+    tasks = max(partitions(docs.sparkSession), texts.rdd.getNumPartitions())
+    parts = tasks * SPREAD
+
+    def ask(batches):
+        import zlib
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        split, found = TaskContext.get().partitionId(), set()
+
+        def send():
+            dealt: dict[int, list[str]] = {}
+            for p in found:
+                dealt.setdefault(zlib.crc32(p.encode()) % parts, []).append(p)
+            rows = [(pid, split, *_packed(ps)) for pid, ps in dealt.items()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["pid", "split", "lengths", "pieces"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                if text.is_valid:
+                    found.update(PIECES.findall(text.as_py()))
+                    if len(found) > MOST:
+                        found.difference_update([p for p in found if len(p) > LONGEST])
+                        yield send()
+        found.difference_update([p for p in found if len(p) > LONGEST])
+        yield send()
+
+    def answer(batches):
+        import pyarrow as pa
+
+        asked = [r for batch in batches for r in batch.select(["split", "lengths", "pieces"]).to_pylist()]
+        of_row = [_unpacked(r["lengths"], r["pieces"].decode()) for r in asked]
+        every, enc, ids = list(set().union(*of_row)), Encoder(rank_file, pattern), {}
+        for i in range(0, len(every), TOGETHER):
+            ids.update(enc.learn(every[i : i + TOGETHER]))
+        for r, ps in zip(asked, of_row):
+            found = [ids[p] for p in ps]
+            cols = [r["lengths"], r["pieces"], memoryview(b"".join(len(x).to_bytes(4, "little") for x in found)).tobytes(), b"".join(found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r["split"]], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], ["split", "lengths", "pieces", "sizes", "ids"])
+
+    asked = texts.mapInArrow(ask, "pid int, split int, lengths binary, pieces binary").repartition(tasks, "pid")
+    answers = asked.mapInArrow(answer, "split int, lengths binary, pieces binary, sizes binary, ids binary")
+    path = f"{at}/pieces"
+    answers.repartition(tasks, "split").write.partitionBy("split").parquet(path)
+    return path
+
+
+def known_pieces(path: str, split: int) -> dict[str, bytes]:
+    """The pieces of a split with their ids; nothing where the corpus is split in another way now."""
+    from pyarrow import fs, parquet
+
+    files, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    out: dict[str, bytes] = {}
+    for f in files.get_file_info(fs.FileSelector(f"{base}/split={split}", allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            for r in parquet.ParquetFile(files.open_input_file(f.path)).read(["lengths", "pieces", "sizes", "ids"]).to_pylist():
+                out.update(zip(_unpacked(r["lengths"], r["pieces"].decode()), _unpacked(r["sizes"], r["ids"])))
+    return out
+
+
 def encode_documents(docs, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True):
     """A row for each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids (array of int).
 
     Null and empty texts have no ids. No special tokens: their strings are ordinary text. Texts are read in Arrow batches,
-    cut further by size, so memory holds a few texts and the remembered pieces. Repeated rows give repeated rows.
+    cut further by size, so memory holds a few texts and the pieces of a split. Repeated rows give repeated rows, an empty
+    table an empty one; other columns don't matter.
     """
     from pyspark.sql import functions as F
 
+    from quaymark.llm.common import shared_dir
+
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    learnt = learn_pieces(docs, rank_file, pattern, shared_dir(docs.sparkSession), text_col)
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        enc = Encoder(rank_file, pattern)
+        enc = Encoder(rank_file, pattern, known_pieces(learnt, TaskContext.get().partitionId()))
         for batch in batches:
             ids_col, texts = batch.column(0), batch.column(1)
             at = 0

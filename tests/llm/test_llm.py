@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaymark.llm import suffix_dedup as sd
-from quaymark.llm.bpe import Encoder, encode_documents
+from quaymark.llm.bpe import LONGEST, PIECES, Encoder, encode_documents, known_pieces, learn_pieces
 from quaymark.llm.exact_dedup import exact_dedup
 from quaymark.llm.language import language_id
 from quaymark.llm.maxent import score
@@ -86,7 +86,7 @@ def test_loser_tree():
     assert [n for n, _ in out][1:] == [sd.common(a[1], b[1]) for a, b in zip(out, out[1:])]
 
 
-def test_bpe(docs, empty):
+def test_bpe(docs, empty, tmp_path):
     import tiktoken
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
@@ -99,6 +99,12 @@ def test_bpe(docs, empty):
         want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
     assert sorted(tuple(r) for r in encode_documents(docs, path, P.PATTERN, with_ids=False).collect()) == sorted(want)
     assert encode_documents(empty, path, P.PATTERN).count() == 0
+    # a split finds its pieces with their ids, and one that isn't there finds none
+    splits = docs.rdd.getNumPartitions()
+    at = learn_pieces(docs, path, P.PATTERN, f"file://{tmp_path}")
+    per = [known_pieces(at, k) for k in range(splits + 1)]
+    assert sum(map(bool, per)) >= 2 and not per[-1] and all(list(struct.unpack(f"<{len(b) // 4}I", b)) == lib.encode_ordinary(p) for x in per for p, b in x.items())
+    assert {p for x in per for p in x} == {p for _, t in all_rows(docs) for p in PIECES.findall(t) if len(p) <= LONGEST}
     enc = Encoder(path, P.PATTERN)
     for t in ("a  b　\x1c c  \r\n d", "<|endoftext|> 'S 're", "aaaaaaaaaaaaaaa" * 50, "日本語 и русский 🙂🙂"):
         (got,) = enc.encode([t])
