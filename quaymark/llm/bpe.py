@@ -181,17 +181,15 @@ class Encoder:
 
 
 def _packed(pieces: list[str]) -> tuple[bytes, bytes]:
-    """(lengths, characters) of pieces."""
-    import numpy as np
-
-    return np.fromiter(map(len, pieces), np.uint32, len(pieces)).tobytes(), "".join(pieces).encode()
+    """(lengths, a byte each, and characters) of pieces that are no longer than LONGEST."""
+    return bytes(map(len, pieces)), "".join(pieces).encode()
 
 
-def _unpacked(lengths: bytes, data):
-    """Stretches of data, which is text or bytes, of these lengths."""
+def _unpacked(lengths, data, unit: int = 1):
+    """Stretches of data, which is text or bytes, of these lengths in units."""
     ends = [0]
-    for n in memoryview(lengths).cast("I"):
-        ends.append(ends[-1] + n)
+    for n in lengths:
+        ends.append(ends[-1] + n * unit)
     return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
@@ -231,7 +229,10 @@ def learn_pieces(docs, rank_file: str, pattern: str, at: str, text_col: str = "t
         found.difference_update([p for p in found if len(p) > LONGEST])
         yield send()
 
+    width = "<u2" if max(load_ranks(rank_file).values()) < 1 << 16 else "<u4"
+
     def answer(batches):
+        import numpy as np
         import pyarrow as pa
 
         asked = [r for batch in batches for r in batch.select(["split", "lengths", "pieces"]).to_pylist()]
@@ -241,18 +242,20 @@ def learn_pieces(docs, rank_file: str, pattern: str, at: str, text_col: str = "t
             ids.update(enc.learn(every[i : i + TOGETHER]))
         for r, ps in zip(asked, of_row):
             found = [ids[p] for p in ps]
-            cols = [r["lengths"], r["pieces"], memoryview(b"".join(len(x).to_bytes(4, "little") for x in found)).tobytes(), b"".join(found)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            cols = [r["lengths"], r["pieces"], sizes.astype("<u2").tobytes(), np.frombuffer(b"".join(found), "<u4").astype(width).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([r["split"]], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], ["split", "lengths", "pieces", "sizes", "ids"])
 
     asked = texts.mapInArrow(ask, "pid int, split int, lengths binary, pieces binary").repartition(tasks, "pid")
     answers = asked.mapInArrow(answer, "split int, lengths binary, pieces binary, sizes binary, ids binary")
     path = f"{at}/pieces"
-    answers.repartition(tasks, "split").write.partitionBy("split").parquet(path)
+    answers.repartition(tasks, "split").write.partitionBy("split").option("compression", "zstd").parquet(path)
     return path
 
 
 def known_pieces(path: str, split: int) -> dict[str, bytes]:
     """The pieces of a split with their ids; nothing where the corpus is split in another way now."""
+    import numpy as np
     from pyarrow import fs, parquet
 
     files, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -260,7 +263,9 @@ def known_pieces(path: str, split: int) -> dict[str, bytes]:
     for f in files.get_file_info(fs.FileSelector(f"{base}/split={split}", allow_not_found=True)):
         if f.path.endswith(".parquet"):
             for r in parquet.ParquetFile(files.open_input_file(f.path)).read(["lengths", "pieces", "sizes", "ids"]).to_pylist():
-                out.update(zip(_unpacked(r["lengths"], r["pieces"].decode()), _unpacked(r["sizes"], r["ids"])))
+                sizes = np.frombuffer(r["sizes"], "<u2")
+                ids = np.frombuffer(r["ids"], "<u4" if len(r["ids"]) == 4 * sizes.sum() else "<u2").astype("<u4").tobytes()
+                out.update(zip(_unpacked(r["lengths"], r["pieces"].decode()), _unpacked(sizes.tolist(), ids, 4)))
     return out
 
 
