@@ -31,10 +31,12 @@ def table(df: DataFrame, at: str, name: str) -> DataFrame:
 
 
 def drop(spark: SparkSession, at: str, *names: str) -> None:
-    """Removes tables of the folder that nothing reads any more: what was made of them has been written."""
+    """Removes tables of the folder that nothing reads any more: what was made of them has been written. Spark removes shuffle
+    files when the driver collects their plans as garbage, which is asked for here, as a driver with much memory seldom does."""
     for name in names:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{name}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.java.lang.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,7 +13,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, up to n."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n * 5 // 4, 1 << 20)
         for i, base in enumerate((_P, pow(_P, -1, 1 << 64))):
             p = np.full(size, np.uint64(base), np.uint64)
             p[0] = 1

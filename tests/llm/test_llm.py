@@ -334,11 +334,11 @@ def test_maxent_probabilities_sum_to_one():
     first = block.words_before(pos)
     for t in (0, 1, 17, 100):
         p = me.class_probabilities(model.light(), one, block.row[t : t + 1], first[t : t + 1])[0].astype(float)
-        before = block.inner[t] - block.cls[t] * (me.CLASSES + 1)
+        before = int(block.inner[t]) - int(block.cls[t]) * (me.CLASSES + 1)
         of_bucket = (p[:, None] * 10 ** model.inner.reshape(me.CLASSES, -1, me.MEMBERS)[:, before]).ravel()
         words = np.bincount(bucket, (counts + 1.0) * (counts > 0), len(of_bucket)) + 1  # the last is any unknown word
         assert abs((of_bucket * words / 10**model.bucket).sum() - 1) < 1e-5
-        at = block.cls[t] * me.MEMBERS + block.member[t]
+        at = int(block.cls[t]) * me.MEMBERS + int(block.member[t])
         assert abs(model.log10(block, counts, pos, one)[t] - np.log10(of_bucket[at] * (counts[block.idx[t]] + 1) / 10 ** model.bucket[at])) < 1e-4
 
 
@@ -368,6 +368,7 @@ def test_maxent_gradient():
     assert abs((total(up) - total(down)) / 2e-4 - (seen[1, 3] - want_word[1, 3])) < 1e-3
     # counts and shares come through an exchange as they were
     assert np.array_equal(me._large(me._small(seen.astype(int) * 300)), seen * 300)
+    assert np.allclose(me._fine(me._coarse(light[:50])), light[:50], atol=np.abs(light[:50]).max() / 250)
     assert np.allclose(me._whole(*me._halved(want_word * 1e6)), want_word * 1e6, rtol=2e-3, atol=1)
 
 
