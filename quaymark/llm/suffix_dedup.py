@@ -34,16 +34,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import WORD, partitions, shared_dir, table
+from quaymark.llm.common import WORD, drop, partitions, shared_dir, table
 
 LENGTH = 400
 #: Words that a passage exceeds, and the bytes it has at least.
 WORDS, LEAST = 50, 240
 #: One position in so many is an anchor.
 DENSITY = 28
-#: Bytes of text whose suffixes make one run; groups of runs for each shuffle partition, and bytes of text for one at most.
-RUN_BYTES = 4_000_000
-SPREAD, PART_BYTES = 2, 32_000_000
+#: Bytes of text whose suffixes make one run; tasks that merge for each shuffle partition, and bytes of text for one at most;
+#: parts for each task, so that hashing deals them evenly and a task holds the runs of few suffixes at a time.
+RUN_BYTES = 2_500_000
+SPREAD, PART_BYTES, PARTS = 2, 16_000_000, 8
 
 _WORD = re.compile(WORD.encode())
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -341,7 +342,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = table(seen.where(F.col("n_bytes") >= least), at, "seen")
     first = seen.groupBy("whole").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "w")).alias("k")).select(F.monotonically_increasing_id().alias("cls"), "copies", "whole", "k.*")
     classes = table(first, at, "classes")
-    pids = max(SPREAD * partitions(spark), (seen.agg(F.sum("n_bytes")).head()[0] or 0) // PART_BYTES)
+    tasks = max(SPREAD * partitions(spark), (seen.agg(F.sum("n_bytes")).head()[0] or 0) // PART_BYTES)
+    pids = PARTS * tasks
 
     # 2. anchors that occur again; equal texts give equal marks, which count once
     def marks(batches):
@@ -370,7 +372,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols = [pa.array([int(part[x[0]]) for x in idx], pa.int32()), *(pa.array([v[x].tobytes() for x in idx], pa.binary()) for v in (h, c, p))]
             yield pa.RecordBatch.from_arrays(cols, ["pid", "h", "cls", "pos"])
 
-    marked = rows.select(text_key, "text").mapInArrow(marks, "pid int, h binary, cls binary, pos binary").repartition(pids, "pid")
+    marked = rows.select(text_key, "text").mapInArrow(marks, "pid int, h binary, cls binary, pos binary").repartition(tasks, "pid")
 
     def again(batches):
         import pyarrow as pa
@@ -395,10 +397,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(p[x].astype(np.int64))], ["w", "pos"])
 
     kept = table(marked.mapInArrow(again, "w long, pos long").groupBy("w").agg(F.collect_set("pos").alias("pos")), at, "anchors")
+    drop(spark, at)
 
     # 3. runs
     wanted = classes.select("cls", "copies", "k1", "k2", "w").join(kept, "w").drop("w")
     cand = table(rows.select("k1", "k2", "text").join(wanted.hint("shuffle_hash"), ["k1", "k2"]), at, "candidates")
+    drop(spark, at, "anchors")
 
     def sort_runs(batches):
         import pyarrow as pa
@@ -432,25 +436,34 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def merge(batches):
         import pyarrow as pa
 
-        blobs: dict[int, list] = {}
-        spans: dict[int, list] = {}
-        for batch in batches:
-            for pid, run, cls, done in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if run is not None:
-                    blobs.setdefault(pid, []).append(run)
-                else:
-                    spans.setdefault(cls, []).extend(zip(done[::2], done[1::2]))
-        for pid in list(blobs):
-            for cls, lo, hi in merge_group(blobs.pop(pid), length, least):
+        part, blobs, spans = None, [], {}
+
+        def flush():
+            for cls, lo, hi in merge_group(blobs, length, least):
                 spans.setdefault(cls, []).append((lo, hi))
-        items = list(spans.items())
-        for i in range(0, len(items), 4096):
-            part = items[i : i + 4096]
-            flat = [[x for s in apart(v, length) for x in s] for _, v in part]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in part], pa.int64()), pa.array(flat, pa.list_(pa.int64()))], ["cls", "spans"])
+            flat = [[x for s in apart(v, length) for x in s] for v in spans.values()]
+            out = pa.RecordBatch.from_arrays([pa.array(list(spans), pa.int64()), pa.array(flat, pa.list_(pa.int64()))], ["cls", "spans"])
+            blobs.clear()
+            spans.clear()
+            return out
+
+        for batch in batches:  # in the order of parts
+            for i, pid in enumerate(batch.column(0).to_pylist()):
+                if pid != part:
+                    if part is not None:
+                        yield flush()
+                    part = pid
+                if (run := batch.column(1)[i]).is_valid:
+                    blobs.append(run.as_py())
+                else:
+                    done = batch.column(3)[i].as_py()
+                    spans.setdefault(batch.column(2)[i].as_py(), []).extend(zip(done[::2], done[1::2]))
+        if part is not None:
+            yield flush()
 
-    found = runs.repartition(pids, "pid").mapInArrow(merge, "cls long, spans array<long>")
+    found = runs.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(merge, "cls long, spans array<long>")
     found = table(found.groupBy("cls").agg(F.flatten(F.collect_list("spans")).alias("spans")), at, "spans")
+    drop(spark, at)
 
     # 5. cut out of single texts; texts with copies go whole
     single = cand.where("copies = 1").select("cls", "k1", "k2", "text").join(found.hint("shuffle_hash"), "cls").select("k1", "k2", "text", "spans")
@@ -475,6 +488,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.bool_())))], ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "spans", "repeated"])
 
     cut = table(single.mapInArrow(remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, repeated boolean"), at, "cut")
+    drop(spark, at, "candidates", "spans")
     copied = seen.join(classes.where("copies > 1").select("whole"), "whole").select("k1", "k2", "n_bytes").dropDuplicates(["k1", "k2"])
     copied = copied.select("k1", "k2", F.lit(True).alias("copied"))
     every = rows.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), F.when(F.octet_length("text") < length, F.regexp_count("text", F.lit(WORD))).alias("n_words"))
