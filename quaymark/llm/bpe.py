@@ -197,7 +197,7 @@ def learn_pieces(docs, rank_file: str, pattern: str, at: str, text_col: str = "t
     """Writes the ids of the distinct pieces of every split of docs below the folder, and says where."""
     from pyspark.sql import functions as F
 
-    from quaymark.llm.common import partitions
+    from quaymark.llm.common import partitions, tidy
 
     texts = docs.select(F.col(text_col).alias("text"))
     tasks = max(partitions(docs.sparkSession), texts.rdd.getNumPartitions())
@@ -249,7 +249,8 @@ def learn_pieces(docs, rank_file: str, pattern: str, at: str, text_col: str = "t
     asked = texts.mapInArrow(ask, "pid int, split int, lengths binary, pieces binary").repartition(tasks, "pid")
     answers = asked.mapInArrow(answer, "split int, lengths binary, pieces binary, sizes binary, ids binary")
     path = f"{at}/pieces"
-    answers.repartition(tasks, "split").write.partitionBy("split").option("compression", "zstd").parquet(path)
+    with tidy(docs.sparkSession):
+        answers.repartition(tasks, "split").write.partitionBy("split").option("compression", "zstd").parquet(path)
     return path
 
 

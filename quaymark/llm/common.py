@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,20 +24,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quaymark-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Spark removes the shuffle files of what is run inside as soon as it ends, instead of whenever the driver's memory is
+    collected. Only for what is written: a result that is read later still needs them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(df: DataFrame, at: str, name: str) -> DataFrame:
     """Writes df as Parquet below the folder and reads it back: later plans start from files that every executor can read."""
     path = f"{at}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    with tidy(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, at: str, *names: str) -> None:
-    """Removes tables of the folder that nothing reads any more: what was made of them has been written. Spark removes shuffle
-    files when the driver collects their plans as garbage, which is asked for here, as a driver with much memory seldom does."""
+    """Removes tables of the folder that nothing reads any more: what was made of them has been written."""
     for name in names:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{name}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    spark._jvm.java.lang.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

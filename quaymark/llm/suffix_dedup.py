@@ -397,7 +397,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(p[x].astype(np.int64))], ["w", "pos"])
 
     kept = table(marked.mapInArrow(again, "w long, pos long").groupBy("w").agg(F.collect_set("pos").alias("pos")), at, "anchors")
-    drop(spark, at)
 
     # 3. runs
     wanted = classes.select("cls", "copies", "k1", "k2", "w").join(kept, "w").drop("w")
@@ -463,7 +462,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     found = runs.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(merge, "cls long, spans array<long>")
     found = table(found.groupBy("cls").agg(F.flatten(F.collect_list("spans")).alias("spans")), at, "spans")
-    drop(spark, at)
 
     # 5. cut out of single texts; texts with copies go whole
     single = cand.where("copies = 1").select("cls", "k1", "k2", "text").join(found.hint("shuffle_hash"), "cls").select("k1", "k2", "text", "spans")
