@@ -26,7 +26,7 @@ ROWS = 1 << 16
 ITERATIONS, RATE, DECAY = 40, 0.5, 1e-4
 #: Words with at least this many occurrences in the sample enter the lexicon.
 LEXICON_LEAST = 3
-STRIDE, REMEMBERED, BATCH_WORDS = 128, 1_000_000, 200_000
+STRIDE, REMEMBERED, BATCH_WORDS = 128, 250_000, 100_000
 
 
 def words_of(text: str) -> list[str]:
