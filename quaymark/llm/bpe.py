@@ -27,11 +27,11 @@ from functools import lru_cache
 _W = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PIECES = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 #: Longer pieces aren't remembered or sent, and the memory is emptied when it holds this many more than it was given.
-LONGEST, MOST = 64, 1_000_000
-#: Pieces that are replayed together.
-TOGETHER = 200_000
-#: Parts for each task that answers, so that hashing deals them evenly.
-SPREAD = 16
+LONGEST, MOST = 64, 250_000
+#: Pieces that are replayed together, and pairs whose ranks are remembered.
+TOGETHER, PAIRS = 50_000, 500_000
+#: Parts for each task that answers, so that hashing deals them evenly and few pieces are held at a time.
+SPREAD = 4
 
 
 @lru_cache(maxsize=2)
@@ -72,7 +72,7 @@ class MergeReplay:
         return {int(ranks[i]): at[i:j] for i, j in zip(new, new[1:])}
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.pairs) > 4 * MOST:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         ranks, rank_of, get = self.ranks, self._rank, self.pairs.get
         out: list[list[int] | None] = [None] * len(words)
@@ -149,8 +149,7 @@ class Encoder:
 
         self.replay = MergeReplay(load_ranks(rank_file))
         self.words_of = regex.compile(pattern).findall
-        self.given = known or {}
-        self.pieces = dict(self.given)
+        self.pieces, self.learnt = known if known is not None else {}, []
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
         split = [[w.encode("utf-8", "replace") for w in self.words_of(p)] for p in new]
@@ -159,8 +158,10 @@ class Encoder:
         return {p: b"".join([packed[w] for w in ws]) for p, ws in zip(new, split)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > len(self.given) + MOST:
-            self.pieces = dict(self.given)
+        if len(self.learnt) > MOST:
+            for p in self.learnt:
+                del self.pieces[p]
+            self.learnt.clear()
         get, out, left = self.pieces.__getitem__, [], []
         for i, t in enumerate(texts):
             ps = PIECES.findall(t)
@@ -171,7 +172,9 @@ class Encoder:
                 left.append((i, ps))
         if left:
             learnt = self.learn(list(set().union(*(ps for _, ps in left)).difference(self.pieces)))
-            self.pieces.update((p, b) for p, b in learnt.items() if len(p) <= LONGEST)
+            short = [p for p in learnt if len(p) <= LONGEST]
+            self.pieces.update((p, learnt[p]) for p in short)
+            self.learnt += short
             for i, ps in left:
                 out[i] = b"".join([learnt[p] if p in learnt else get(p) for p in ps])
         return out
@@ -235,18 +238,35 @@ def learn_pieces(docs, rank_file: str, pattern: str, at: str, text_col: str = "t
         import numpy as np
         import pyarrow as pa
 
-        asked = [r for batch in batches for r in batch.select(["split", "lengths", "pieces"]).to_pylist()]
-        of_row = [_unpacked(r["lengths"], r["pieces"].decode()) for r in asked]
-        every, enc, ids = list(set().union(*of_row)), Encoder(rank_file, pattern), {}
-        for i in range(0, len(every), TOGETHER):
-            ids.update(enc.learn(every[i : i + TOGETHER]))
-        for r, ps in zip(asked, of_row):
-            found = [ids[p] for p in ps]
+        enc, part, asked = Encoder(rank_file, pattern), None, []
+
+        def flush():
+            every, ids = set(), {}
+            for r in asked:
+                every.update(_unpacked(r["lengths"], r["pieces"].decode()))
+            every = list(every)
+            for i in range(0, len(every), TOGETHER):
+                ids.update(enc.learn(every[i : i + TOGETHER]))
+            for r in asked:
+                yield answered(r, ids)
+            asked.clear()
+
+        def answered(r, ids):
+            found = [ids[p] for p in _unpacked(r["lengths"], r["pieces"].decode())]
             sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
             cols = [r["lengths"], r["pieces"], sizes.astype("<u2").tobytes(), np.frombuffer(b"".join(found), "<u4").astype(width).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([r["split"]], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], ["split", "lengths", "pieces", "sizes", "ids"])
-
-    asked = texts.mapInArrow(ask, "pid int, split int, lengths binary, pieces binary").repartition(tasks, "pid")
+            return pa.RecordBatch.from_arrays([pa.array([r["split"]], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], ["split", "lengths", "pieces", "sizes", "ids"])
+
+        for batch in batches:  # in the order of parts
+            for i, pid in enumerate(batch.column(0).to_pylist()):
+                if pid != part and asked:
+                    yield from flush()
+                part = pid
+                asked.append({n: batch.column(n)[i].as_py() for n in ("split", "lengths", "pieces")})
+        if asked:
+            yield from flush()
+
+    asked = texts.mapInArrow(ask, "pid int, split int, lengths binary, pieces binary").repartition(tasks, "pid").sortWithinPartitions("pid")
     answers = asked.mapInArrow(answer, "split int, lengths binary, pieces binary, sizes binary, ids binary")
     path = f"{at}/pieces"
     with tidy(docs.sparkSession):
