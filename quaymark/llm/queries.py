@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.llm.bpe import encode_documents
-from quaymark.llm.common import documents, shared_dir, table
+from quaymark.llm.common import documents
 from quaymark.llm.exact_dedup import exact_dedup
 from quaymark.llm.language import language_id
 from quaymark.llm.maxent import score
@@ -15,7 +15,7 @@ from quaymark.llm.mixing import mix
 from quaymark.llm.quality import quality
 from quaymark.llm.suffix_dedup import suffix_dedup
 from quaymark.llm.token_store import token_store
-from quaymark.llm.warc import derivatives, read_warc, responses, write_warc
+from quaymark.llm.warc import derivatives, responses
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,13 +33,9 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both derived records of every page, written as WARC files and read back from them; page_id is found by the response's id."""
-    at = shared_dir(spark)
-    records = table(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), at, "responses")
-    files = write_warc(derivatives(records), f"{at}/warc")
-    back = read_warc(spark, f"{at}/warc", files)
-    page = records.select(F.col("record_id").alias("refers_to"), "page_id")
-    return back.join(page, "refers_to").select(
+    """Both derived records of every page. Files of them are what write_warc() makes and read_warc() reads."""
+    records = responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return derivatives(records, ["page_id"]).select(
         "page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", F.col("headers")["WARC-Block-Digest"].alias("block_digest"),
         F.col("headers")["WARC-Source-Payload-Digest"].alias("source_payload_digest"), F.octet_length("block").cast("long").alias("n_bytes"), F.decode("block", "utf-8").alias("content"),
     )
