@@ -85,7 +85,7 @@ def _before(rows: DataFrame, keys: list[str], order: list[str], value: str, name
     return rows.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0).cast("long")))
 
 
-def draw_counts(targets: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
+def draw_counts(targets: DataFrame, at: str, block: int = BLOCK, seed: int = 1) -> DataFrame:
     """rank, shard, length (of a block), blocks, n: how many slots of the shard the source fills, and base: how many of the shards before."""
     length = F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")
     t = targets.withColumn("length", length).withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")))
@@ -99,6 +99,7 @@ def draw_counts(targets: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFr
     drawn = chunks.select("rank", "length", "blocks", "shards", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("draw"))
     drawn = drawn.select("rank", "length", "blocks", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "rank", "draw"), "shards").alias("shard"))
     counts = drawn.groupBy("rank", "length", "blocks", "shard").agg(F.count(F.lit(1)).alias("n")).withColumn("many", F.floor(F.col("shard") / BUCKET_SHARDS))
+    counts = table(counts, at, "counts")
     wide = _before(counts.groupBy("rank", "many").agg(F.sum("n").alias("all")), ["rank"], ["many"], "all", "start").select("rank", "many", "start")
     near = _before(counts, ["rank", "many"], ["shard"], "n", "inside")
     return near.join(wide, ["rank", "many"]).select("rank", "shard", "length", "blocks", "n", (F.col("start") + F.col("inside")).alias("base"))
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     buckets = max(1, -(-(sizes.agg(F.max("rows")).head()[0] or 0) // BUCKET_ROWS))
     targets = table(source_targets(sizes.drop("rows"), share), at, "targets")
-    draws = table(draw_counts(targets, block, seed), at, "draws")
+    draws = table(draw_counts(targets, at, block, seed), at, "draws")
     slots = plan_slots(draws, seed)
     named = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(sized["*"], targets["rank"], targets["source_size"], targets["target"])
     placed = _offsets(named.select("row_no", "rank", "size", "h1", "h2").where("size > 0"), buckets).join(draws.select("rank", "length").distinct(), "rank")
