@@ -5,8 +5,8 @@ is predicted in three factors. First its class, by a softmax over sums of weight
 before (an n-gram feature), a row for the class of the word before the last one (a skip feature), and a row of the last
 word's own. Then its member, by a softmax over a row for its class and the class of the word before. Then the word, by its
 share of the training tokens of class and member, with one added for each word and one for any unknown word. The factors
-multiply to a proper distribution. Every word with enough training tokens (see LEAST) has a row of its own, so what is
-gathered of contexts grows with the corpus.
+multiply to a proper distribution. Every word with LEAST training tokens has a row of its own, in a corpus of any size, so
+what is gathered of contexts grows with the corpus.
 
 Training is distributed. Texts are turned into blocks of token numbers once. Rows of class contexts start from smoothed
 counts, rows of words from what their counts say beside the row of their class. Then ROUNDS gradient rounds, each over
@@ -19,21 +19,25 @@ part adds up what it gets and answers every block. A word is sent once a block,
 written in a folder for each split of the corpus, where its blocks read them, so blocks are never shuffled. Blocks and
 parts are of bounded size, so their numbers grow with the corpus; only the rows of class contexts, whose number is fixed,
 come to the driver and are broadcast.
+
+Weights are exchanged by split, not by block. What a word was followed by is sent in one of two ways, which add up to the
+same sums: of a word with more than FEW tokens in a split, the split has the weights and sends observed and expected counts
+of all classes; of any other it sends each token's class context and class, and the part, which has the weights, runs the
+model forward. Most words are rare in a split, so this is a small part of what a row of counts for each would be.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaymark.llm.common import drop, partitions, shared_dir, table, tidy
 
 CLASSES, MEMBERS = 64, 16
-#: A word has weights of its own if it has this many training tokens, and n^0.75 / SCALE where there are n in all. With that the
-#: words that have some grow about as n^0.25, and what a block asks for stays small beside it.
-LEAST, SCALE = 32, 500
+#: A word has weights of its own if it has this many training tokens, however many there are in all.
+LEAST = 32
+#: Tokens of a word in a split up to which they are sent one by one, and tokens that a split holds before it sends them.
+FEW, HELD_BACK = 64, 8_000_000
 ROUNDS = 2
 #: Smoothing of a row's counts towards the counts of all rows, for classes and for members.
 PRIOR, MEMBER_PRIOR = 50.0, 50.0
@@ -363,7 +367,7 @@ class _Answers:
         from quaymark.llm.token_store import _fs
 
         if self.split != block >> 33:
-            from pyarrow import fs
+            from pyarrow import default_memory_pool, fs
 
             self.split, self.rows = block >> 33, {}
             for path in self.paths:
@@ -372,6 +376,7 @@ class _Answers:
                     if f.path.endswith(".parquet"):
                         for r in parquet.ParquetFile(files.open_input_file(f.path)).read().to_pylist():
                             self.rows.setdefault(r["block"], []).append(r)
+            default_memory_pool().release_unused()
         return self.rows.get(block, [])
 
 
@@ -435,16 +440,36 @@ def _count(blocks: DataFrame, parts: int, tasks: int, at: str) -> str:
     return _answer(answers, at, "counts", tasks)
 
 
-def _weights(replies) -> tuple:
-    """(pos, one) of the weight rows among a block's replies; the first row of one is of words without weights."""
-    import numpy as np
+class _Weights(_Answers):
+    """The weights that were sent to a split: hashes of words, ascending, and their rows in the bytes they were sent in."""
 
-    rows = [r for r in replies if r.get("w") is not None]
-    pos = np.concatenate([np.frombuffer(r["pos"], np.int32) for r in rows]) if rows else np.empty(0, np.int32)
-    w = np.zeros((len(pos) + 1, CLASSES), np.float32)
-    if rows:
-        w[1:] = np.concatenate([_fine(r["w"]) for r in rows])
-    return pos, w
+    def __call__(self, block: int):
+        import numpy as np
+        import zstandard
+
+        if self.split != block >> 33:
+            super().__call__(block)
+            rows = [r for of in self.rows.values() for r in of]
+            h = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["h"], np.uint64) for r in rows)])
+            unpack = zstandard.ZstdDecompressor().decompress
+            w = np.concatenate([np.empty((0, 4 + CLASSES), np.int8), *(np.frombuffer(unpack(r["w"]), np.int8).reshape(-1, 4 + CLASSES) for r in rows)])
+            self.h, at = np.unique(h, return_index=True)
+            self.w, self.rows = w[at], {}
+        return self.h, self.w
+
+    def of(self, block: int, vocab) -> tuple:
+        """(pos, place, one): which words of the vocabulary have weights, where they are among all of the split, and the weights;
+        the first row of one is of words without weights."""
+        import numpy as np
+
+        h, w = self(block)
+        place = np.searchsorted(h, vocab)
+        has = np.append(h, np.uint64(0))[place] == vocab
+        has[place == len(h)] = False
+        pos, place = np.flatnonzero(has).astype(np.int32), place[has]
+        one = np.zeros((len(pos) + 1, CLASSES), np.float32)
+        one[1:] = _fine(w[place].tobytes())
+        return pos, place, one
 
 
 def _coarse(w) -> bytes:
@@ -500,43 +525,134 @@ def _whole(sums: bytes, shares: bytes):
     return np.frombuffer(sums, np.float32)[:, None] * np.frombuffer(shares, np.float16).reshape(-1, CLASSES).astype(np.float32)
 
 
-_SENT = "pid int, block long, pos binary, h binary, cls binary, o binary, sums binary, e binary, k int, part binary"
+_SENT = "pid int, block long, h binary, want binary, cls binary, n binary, context binary, follow binary, full binary, o binary, sums binary, e binary, k int, part binary"
+_STATE = "pid int, block long, h binary, w binary, k int, part binary"
+
 
+class _Contexts:
+    """Tokens of which only the class contexts are known."""
+
+    def __init__(self, row):
+        self.row = row
+
+
+class _Split:
+    """What a split gathers of its blocks, to be sent by words: tokens one by one, and rows of counts of words with weights."""
+
+    def __init__(self):
+        self.block, self.held = None, 0
+        self.words: list[tuple] = []  # (hashes, classes, tokens in the next round)
+        self.tokens: list[tuple] = []  # (word, class context, class)
+        self.counts = None  # hashes of the words with weights, observed and expected counts
+
+    def add(self, block: int, h, cls, ahead, word, context, follow) -> None:
+        import numpy as np
+
+        self.block = block if self.block is None else self.block
+        before = sum(len(x[0]) for x in self.words)
+        self.words.append((h, cls, ahead))
+        self.tokens.append(((word + before).astype(np.int32), context, follow))
+        self.held += len(word)
+
+    def count(self, h, place, o, e) -> None:
+        import numpy as np
 
-def _learnt(blocks: DataFrame, answers: str, state: DataFrame | None, model: Model, parts: int, tasks: int, at: str, r: int | None, least: int = 0) -> tuple[str, DataFrame]:
-    """(where the weights for the blocks are, new state): the start from observed counts (r None) of words with least tokens, or
+        if self.counts is None:
+            self.counts = h, np.zeros((len(h), CLASSES), np.uint32), np.zeros((len(h), CLASSES), np.float32)
+        self.counts[1][place] += o.astype(np.uint32)
+        self.counts[2][place] += e
+
+    def messages(self, parts: int, start: bool, last: bool) -> list[tuple]:
+        """Rows (pid, block, h, want, cls, n, context, follow, full, o, sums, e): for each word if its weights are wanted, and how
+        many tokens follow one by one; full are the places of the words that have rows of counts."""
+        import numpy as np
+
+        h, cls, ahead = (np.concatenate(x) for x in zip(*self.words))
+        self.words.clear()
+        u, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        part = (u % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        place = np.empty(len(u), np.int32)
+        place[by] = np.arange(len(u), dtype=np.int32)
+        inv = place[inv]
+        want = np.ones(len(u), bool) if last else (np.bincount(inv, ahead, len(u)) > FEW)
+        for i, x in enumerate(self.tokens):
+            self.tokens[i] = inv[x[0]], *x[1:]
+        word, context, follow = (np.concatenate(x) for x in zip(*self.tokens))
+        self.tokens.clear()
+        o, e, full = np.empty((0, CLASSES), np.uint32), None, np.empty(0, np.int32)
+        if start:
+            often = np.bincount(word, minlength=len(u)) > FEW
+            full, row = np.flatnonzero(often), np.cumsum(often) - 1
+            o, often = np.zeros(len(full) * CLASSES, np.int64), often[word]
+            for lo in range(0, len(word), 1 << 18):
+                s = slice(lo, lo + (1 << 18))
+                o += np.bincount(row[word[s][often[s]]] * CLASSES + follow[s][often[s]], minlength=len(o))
+            o = o.reshape(-1, CLASSES)
+            word, context, follow = word[~often], context[~often], follow[~often]
+        elif self.counts is not None:
+            known, o, e = self.counts
+            met = np.flatnonzero(e.any(1) | o.any(1))
+            full = place[np.searchsorted(u, known[met])]
+            sort = np.argsort(full)
+            full, o, e = full[sort], o[met[sort]], e[met[sort]]
+        sort = np.argsort(word, kind="stable")
+        context, follow, n = context[sort], follow[sort], np.bincount(word, minlength=len(u))
+        ends, u, cls, part = np.concatenate([[0], np.cumsum(n)]), u[by], cls[first[by]], part[by]
+        cuts, out = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(u)], []
+        for i, j in zip(cuts, cuts[1:]):
+            if j > i:
+                f, t = slice(*np.searchsorted(full, [i, j])), slice(ends[i], ends[j])
+                sums, shares = (None, None) if e is None else _halved(e[f])
+                out.append((int(part[i]), self.block, u[i:j].tobytes(), want[i:j].tobytes(), cls[i:j].tobytes() if start else None, _planes(n[i:j]).tobytes(), None if start else context[t].tobytes(), follow[t].tobytes(), _planes(full[f] - i).tobytes(), _small(o[f]), sums, shares))
+        return out
+
+
+def _learnt(blocks: DataFrame, counts: str, answers: str | None, state: DataFrame | None, model: Model, parts: int, tasks: int, at: str, r: int | None) -> tuple[str, DataFrame]:
+    """(where the weights for the splits are, new state): the start from observed counts (r None) of words with LEAST tokens, or
     a gradient round. state holds the words of a part with their weights, a part's rows under its number."""
     spark, context = blocks.sparkSession, (CLASSES + 1) ** 2
     shared = spark.sparkContext.broadcast(model.light())  # class contexts, of fixed number
+    after = 0 if r is None else r + 1
 
     def forward(batches):
         import numpy as np
         import pyarrow as pa
 
         names = [x.split()[0] for x in _SENT.split(", ")]
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.int32(), pa.binary()]
-        answer, dense, split = _Answers(answers), None, 0
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 10, pa.int32(), pa.binary()]
+        counted, sent, dense, split, gathered = _Answers(counts), _Weights(*([answers] if answers else [])), None, 0, _Split()
+
+        def flush():
+            nonlocal gathered
+            rows, gathered = gathered.messages(parts, r is None, after == ROUNDS) if gathered.words else [], _Split()
+            return _batch([(*x, None, None) for x in rows], names, kinds)
 
         def one(row):
-            nonlocal dense, split
-            b, cls, split = _read(row), np.frombuffer(row["cls"], np.uint8), row["block"] >> 33
-            if r is None:
-                pos, use, e = np.flatnonzero(_counted(b, answer(row["block"])) >= least).astype(np.int32), b.train, None
-            else:
-                (pos, weights), use = _weights(answer(row["block"])), b.turn == r
-                by_row, e = expected_counts(b, shared.value, weights, b.words_before(pos), use)
+            nonlocal dense
+            b, cls = _read(row), np.frombuffer(row["cls"], np.uint8)
+            own = np.flatnonzero(_counted(b, counted(row["block"])) >= LEAST).astype(np.int32)
+            word, use = b.words_before(own), b.train if r is None else b.turn == r
+            apart = use & (word > 0)
+            if r is not None:
+                pos, place, weights = sent.of(row["block"], b.vocab)
+                first = b.words_before(pos)
+                apart &= first == 0
+                by_row, e = expected_counts(b, shared.value, weights, first, use & ~apart)
                 new = observed_counts(b, b.row, context, use), by_row.astype(float)
                 dense = new if dense is None else tuple(x + y for x, y in zip(dense, new))
-            o, out = observed_counts(b, b.words_before(pos), len(pos) + 1, use)[1:], []
-            for pid, some in _dealt(b.vocab[pos], parts) if len(pos) else []:
-                sums, shares = (None, None) if e is None else _halved(e[1:][some])
-                out.append((pid, row["block"], pos[some].tobytes(), b.vocab[pos[some]].tobytes(), cls[pos[some]].tobytes(), _small(o[some]), sums, shares, None, None))
-            return _batch(out, names, kinds)
+                gathered.count(sent.h, place, observed_counts(b, first, len(pos) + 1, use)[1:], e[1:])
+            ahead = np.bincount(word[b.turn == after], minlength=len(own) + 1)[1:]
+            gathered.add(row["block"], b.vocab[own], cls[own], ahead, word[apart] - 1, b.row[apart], b.cls[apart])
 
         for row in _rows(batches):
-            yield one(row)
+            if gathered.words and (row["block"] >> 33 != split or gathered.held > HELD_BACK):
+                yield flush()
+            split = row["block"] >> 33
+            one(row)
+        yield flush()
         # pieces of arrays go to parts of their own
-        yield _batch([(parts + k, *(None,) * 7, k, part) for k, part in _dense_rows(dense or (), split)], names, kinds)
+        yield _batch([(parts + k, *(None,) * 11, k, part) for k, part in _dense_rows(dense or (), split)], names, kinds)
 
     name = "start" if r is None else f"round-{r}"
     sent = blocks.select("block", "turn", "begin", "idx", "vocab", "cls").mapInArrow(forward, _SENT)
@@ -545,58 +661,69 @@ def _learnt(blocks: DataFrame, answers: str, state: DataFrame | None, model: Mod
     def learn(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        rows, hs, cs, os, es, old, sums = [], [], [], [], [], [], {}
-        names, kinds = ["pid", "block", "pos", "h", "w"], [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+        import zstandard
+
+        rows, old, sums, pack = [], [], {}, zstandard.ZstdCompressor(level=1).compress
+        names, kinds = [x.split()[0] for x in _STATE.split(", ")], [pa.int32(), pa.int64(), *[pa.binary()] * 2, pa.int32(), pa.binary()]
         one = lambda *v: _batch([v], names, kinds)
         for batch in batches:
             for x in batch.to_pylist():
                 if x["k"] is not None:
                     new = np.frombuffer(x["part"], np.float32).astype(np.float64)
                     sums[x["k"]] = sums[x["k"]] + new if x["k"] in sums else new
-                    continue
-                h = np.frombuffer(x["h"], np.uint64)
-                if x["block"] is None:
-                    old.append((h, np.frombuffer(x["w"], np.float32).reshape(-1, CLASSES)))
+                elif x["block"] is None:
+                    old.append((np.frombuffer(x["h"], np.uint64), np.frombuffer(x["w"], np.float32).reshape(-1, CLASSES)))
                 else:
-                    rows.append((x["block"], x["pos"]))
-                    hs.append(h)
-                    os.append(_large(x["o"]))
-                    if r is None:
-                        cs.append(np.frombuffer(x["cls"], np.uint8))
-                    else:
-                        es.append(_whole(x["sums"], x["e"]))
+                    rows.append(x)
         for k, total in sums.items():
-            yield one(k, None, None, None, total.tobytes())
+            yield one(k, None, None, None, k, total.astype(np.float32).tobytes())
         if not rows:
             return
+        hs = [np.frombuffer(x["h"], np.uint64) for x in rows]
         u, at_first, inv = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
-        order = np.argsort(inv, kind="stable")
-        new = np.flatnonzero(np.diff(inv[order], prepend=-1))
-        o = np.add.reduceat(np.concatenate(os)[order], new)
-        if r is None:
-            w = start(o, np.concatenate(cs)[at_first])
-        else:
-            e = np.add.reduceat(np.concatenate(es)[order], new)
+        ends = np.cumsum([0, *map(len, hs)])
+        word = np.repeat(inv, np.concatenate([_numbers(x["n"]) for x in rows]))
+        follow = np.frombuffer(b"".join(x["follow"] for x in rows), np.uint8)
+        o, e = np.bincount(word * CLASSES + follow, minlength=len(u) * CLASSES).reshape(-1, CLASSES).astype(np.float32), None
+        if r is not None:
             known = np.concatenate([x[0] for x in old])
             known_at = np.argsort(known)
-            w = moved(np.concatenate([x[1] for x in old])[known_at[np.searchsorted(known[known_at], u)]], o, e, share)
+            w = np.concatenate([x[1] for x in old])[known_at[np.searchsorted(known[known_at], u)]]
+            weights = np.zeros((len(u) + 1, CLASSES), np.float32)
+            weights[1:] = _fine(_coarse(w))  # as splits have them
+            tokens = _Contexts(np.frombuffer(b"".join(x["context"] for x in rows), np.uint16))
+            by_row, e = expected_counts(tokens, shared.value, weights, word + 1, np.ones(len(word), bool))
+            e = e[1:]
+            for k, part in _dense_rows((np.empty(0), by_row), TaskContext.get().partitionId()):
+                yield one(k, None, None, None, k, part)
+        for i, x in enumerate(rows):
+            at_full = inv[ends[i] + _numbers(x["full"])]
+            o[at_full] += _large(x["o"])
+            if x["sums"] is not None:
+                e[at_full] += _whole(x["sums"], x["e"])
+        if r is None:
+            w = start(o, np.frombuffer(b"".join(x["cls"] for x in rows), np.uint8)[at_first])
+        else:
+            w = moved(w, o, e, share)
         w = w.astype(np.float32)
-        ends = np.cumsum([0, *map(len, hs)])
-        for i, (block, pos) in enumerate(rows):
-            yield one(None, block, pos, None, _coarse(w[inv[ends[i] : ends[i + 1]]]))
+        for i, x in enumerate(rows):
+            wanted = np.frombuffer(x["want"], np.bool_)
+            if wanted.any():
+                yield one(None, x["block"], hs[i][wanted].tobytes(), pack(_coarse(w[inv[ends[i] : ends[i + 1]][wanted]])), None, None)
         for pid, of in _dealt(u, parts):
             for lo in range(0, len(of), 65_536):
                 s = of[lo : lo + 65_536]
-                yield one(pid, None, None, u[s].tobytes(), w[s].tobytes())
+                yield one(pid, None, u[s].tobytes(), w[s].tobytes(), None, None)
 
     part = sent.withColumn("w", F.lit(None).cast("binary"))
     if state is not None:
-        part = part.unionByName(state.select("pid", "block", "pos", "h", "w"), allowMissingColumns=True)
-    path = _answer(part.repartition(tasks, "pid").mapInArrow(learn, "pid int, block long, pos binary, h binary, w binary"), at, f"{name}-weights", tasks)
-    beside = _beside(spark, path, "pid int, block long, pos binary, h binary, w binary")
+        part = part.unionByName(state.select("pid", "block", "h", "w"), allowMissingColumns=True)
+    path = _answer(part.repartition(tasks, "pid").mapInArrow(learn, _STATE), at, f"{name}-weights", tasks)
+    beside = _beside(spark, path, _STATE)
     if r is not None:
-        model.learn(*_added(beside.where("h is null").select("pid", "w"), [context * CLASSES] * 2))
+        model.learn(*_summed(beside, [context * CLASSES] * 2, at, f"{name}-contexts"))
     return path, beside.where("h is not null")
 
 
@@ -624,21 +751,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         bucket_tokens[b], bucket_words[b] = t, w
     n_train, n_words = int(bucket_tokens.sum()), int(bucket_words.sum())
     model = Model(observed, inner, bucket_tokens, bucket_words)
-    weights, state = _learnt(blocks, counts, None, model, parts, tasks, at, None, max(LEAST, math.isqrt(math.isqrt(n_train**3)) // SCALE))
+    weights, state = _learnt(blocks, counts, None, None, model, parts, tasks, at, None)
     for r in range(ROUNDS):
-        weights, state = _learnt(blocks, weights, state, model, parts, tasks, at, r)
+        weights, state = _learnt(blocks, counts, weights, state, model, parts, tasks, at, r)
         drop(spark, at, f"round-{r - 1}-weights" if r else "start-weights")
     shared = spark.sparkContext.broadcast(model)  # class contexts and buckets, of fixed number
 
     def scored(batches):
         import pyarrow as pa
 
-        names, answer = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], _Answers(counts, weights)
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        answer, sent = _Answers(counts), _Weights(weights)
 
         def one(row):
-            b, answers = _read(row), answer(row["block"])
-            c = _counted(b, answers)
-            lm = shared.value.log10(b, c, *_weights(answers))
+            b = _read(row)
+            c = _counted(b, answer(row["block"]))
+            pos, _, weights = sent.of(row["block"], b.vocab)
+            lm = shared.value.log10(b, c, pos, weights)
             base = np.log10(c[b.idx] + 1.0) - np.log10(n_train + n_words + 1.0)
             sums = [np.add.reduceat(x, b.begin[:-1]) for x in ((c[b.idx] > 0).astype(np.int64), base, lm)]
             n = len(b.held)

@@ -37,6 +37,7 @@ class LibraryEncoder:
     Texts are cut at each space that a character other than white space follows; byte-level pre-tokenizers never reach
     across such a place. Most pieces are a space and a run without white space: many of them go to the library as one
     string, and a token whose bytes start with a space starts the next piece. All other pieces go to it one by one.
+    Pieces that were met again are kept when the memory is full of others, as most of a corpus's pieces occur once.
     """
 
     def __init__(self, path: str):
@@ -49,6 +50,7 @@ class LibraryEncoder:
         self.width = 2 if size <= 1 << 16 else 4
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE_TOKEN) for i in range(size)])
         self.after: dict[str, bytes] = {}  # pieces with a space before them, which is left out of the key
+        self.met: set[str] = set()  # those of them that later texts had too
         self.whole: dict[str, bytes] = {}  # all others
 
     def _learn(self, new: list[str]) -> list[bytes]:
@@ -73,20 +75,27 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of `width` bytes."""
-        for memory in (self.after, self.whole):
-            if len(memory) > MOST:
-                memory.clear()
-        cut, plain, other = [], set(), set()
-        for t in texts:
-            first, *rest = t.split(" ")
-            new = set(rest).difference(self.after)
-            if any(not p or p[0].isspace() for p in new):  # longer white space
-                first, rest = "", PIECES.findall(t)
+        if len(self.whole) > MOST:
+            self.whole.clear()
+        if len(self.met) > 2 * MOST:
+            self.after.clear()
+            self.met.clear()
+        elif len(self.after) - len(self.met) > MOST:
+            self.after = {p: self.after[p] for p in self.met}
+        cut, other = [], set()
+        split = [t.split(" ") for t in texts]
+        every = set().union(*(rest[1:] for rest in split))
+        plain = every.difference(self.after)
+        self.met |= every.difference(plain)
+        wide = {p for p in plain if not p or p[0].isspace()}  # where there is longer white space
+        odd = [not wide.isdisjoint(rest[1:]) for rest in split] if wide else [False] * len(split)
+        if wide:
+            plain = set().union(*(rest[1:] for rest, o in zip(split, odd) if not o)).difference(self.after)
+        for t, (first, *rest), o in zip(texts, split, odd):
+            if o:
+                first, rest = None, PIECES.findall(t)
                 other.update(set(rest).difference(self.whole))
-                cut.append((None, rest))
-                continue
-            plain |= new
-            if first not in self.whole:
+            elif first not in self.whole:
                 other.add(first)
             cut.append((first, rest))
         others, spaced, joined = list(other), [], []

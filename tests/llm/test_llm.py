@@ -306,6 +306,17 @@ def test_maxent_learns_words_in_their_contexts(spark):
     assert held and sum(r["score"] for r in held) > 0.75 * sum(r["base_score"] for r in held)
 
 
+def test_maxent_words_have_weights_in_a_corpus_of_any_size(spark):
+    rng = random.Random(6)
+    pairs = [(f"a{i}xq", f"b{i}zj{'klmn'[i % 4]}{'opqr'[i // 4]}") for i in range(16)]
+    docs = spark.createDataFrame([(i, " ".join(w for _ in range(60) for w in rng.choice(pairs))) for i in range(20)], "doc_id long, text string")
+    others = spark.range(1000, 1060).selectExpr("id AS doc_id", "repeat('the ', 40000) AS text")  # two million tokens
+    got = [r for r in score(docs.union(others)).collect() if r["held_out"] and r["doc_id"] < 20]
+    mean = sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got)
+    # each of the words has about 60 training tokens; without weights of their own, the one after is as good as any of 16
+    assert mean > -1
+
+
 def _toy_model():
     from quaymark.llm import maxent as me
 
