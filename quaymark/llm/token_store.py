@@ -77,16 +77,16 @@ class LibraryEncoder:
         """Little-endian ids of `width` bytes."""
         if len(self.whole) > MOST:
             self.whole.clear()
+        cut, other = [], set()
+        split = [t.split(" ") for t in texts]
+        every = set().union(*(rest[1:] for rest in split))
+        self.met |= every.intersection(self.after)
         if len(self.met) > 2 * MOST:
             self.after.clear()
             self.met.clear()
         elif len(self.after) - len(self.met) > MOST:
             self.after = {p: self.after[p] for p in self.met}
-        cut, other = [], set()
-        split = [t.split(" ") for t in texts]
-        every = set().union(*(rest[1:] for rest in split))
         plain = every.difference(self.after)
-        self.met |= every.difference(plain)
         wide = {p for p in plain if not p or p[0].isspace()}  # where there is longer white space
         odd = [not wide.isdisjoint(rest[1:]) for rest in split] if wide else [False] * len(split)
         if wide:

@@ -278,6 +278,25 @@ def test_mixing(docs, empty):
     assert pieces.agg({"words": "sum"}).head()[0] == sum(r["taken"] for r in got) and mix(empty)[0].count() == 0
 
 
+def test_token_store_asks_once_for_pieces_that_occur_again(monkeypatch):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from quaymark.llm import token_store as ts
+
+    monkeypatch.setattr(ts, "MOST", 100)
+    enc, lib, asked = LibraryEncoder(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json")), Counter()
+    learn = enc._learn_after
+    enc._learn_after = lambda new: (asked.update(new), learn(new))[1]
+    common = [f"common{i}" for i in range(60)]
+    for k in range(12):
+        texts = [" ".join(["first", *common, *(f"once{k}x{i}" for i in range(70))]), f"two  spaces{k} \n common1 {'wide' * 30}", "", "common2"]
+        want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(texts)] == want
+        assert len(enc.after) <= 400
+    assert max(asked[w] for w in common) == 1
+
+
 def test_maxent(docs, empty):
     toks = [(i, t.encode().lower().split() + [b""]) for i, t in all_rows(docs)]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
