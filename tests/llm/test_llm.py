@@ -152,6 +152,16 @@ def test_warc_survives_odd_charsets():
         assert [d["warc_type"] for d in derive({"record_id": record_id("x"), "target_uri": "u", "date": None, "headers": None, "block": block})] == ["metadata", "conversion"]
 
 
+def test_bpe_sends_pieces_packed():
+    from quaymark.llm.bpe import _packed, _pieces
+
+    rng = random.Random(4)
+    pieces = sorted({f" {rng.choice(['un', 'fore', 'inter', 'over'])}{rng.choice(['cast', 'stand', 'work'])}{i}é" for i in range(2000)})
+    frame = _packed(pieces)
+    assert _pieces(frame) == pieces and len(frame) < 0.6 * sum(len(p.encode()) + 1 for p in pieces)
+    assert _pieces(_packed([])) == []
+
+
 def test_token_store(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
